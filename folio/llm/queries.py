@@ -8,8 +8,10 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _WHERE = {
+    "leakage": ["p7_found"],
     "neardup": ["p1_found", "p1_groups"],
     "sentences": ["p3_found"],
+    "sharedspans": ["p4_found", "p4_report", "p4_passages"],
     "splitting": ["p6_found", "p6_pieces"],
 }
 

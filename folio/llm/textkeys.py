@@ -55,31 +55,29 @@ def grams(values: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * down[: n - k + 1])
 
 
-def winnow(h: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the rightmost least hash of every window of w hashes (of the whole, if there are fewer).
+_LOW = np.uint64((1 << 24) - 1)
 
-    Two sequences that share w + k - 1 consecutive values share the hash of at least one picked k-gram there.
-    """
+
+def window_picks(h: np.ndarray, w: int) -> np.ndarray:
+    """For every window of w hashes, the position of its least hash, the rightmost of equals (n >= w)."""
     n = len(h)
-    if not n:
-        return np.empty(0, np.int64)
-    if n <= w:
-        return np.array([n - 1 - int(np.argmin(h[::-1]))])
+    pos = np.arange(n, dtype=np.uint64)
+    key = (h & ~_LOW) | (_LOW - (pos & _LOW))
     # prefix and suffix minima of blocks of w give every window's minimum in three passes
     pad = (-n) % w
-    x = np.concatenate([h, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
+    x = np.concatenate([key, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
     pre = np.minimum.accumulate(x, axis=1).ravel()
     suf = np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1].ravel()
     low = np.minimum(suf[: n - w + 1], pre[w - 1 : n])
-    # rightmost position with that value in the window: the last index at or before the window's end
-    at = np.flatnonzero(np.isin(h, low)) if n < 4096 else np.arange(n)
-    order = np.lexsort((at, h[at]))
-    hs, ps = h[at][order], at[order]
-    ends = np.arange(w - 1, n)
-    first, last = np.searchsorted(hs, low, "left"), np.searchsorted(hs, low, "right")
-    pick = ps[last - 1]
-    late = pick > ends  # the value comes again behind the window
-    for i in np.flatnonzero(late):
-        run = ps[first[i] : last[i]]
-        pick[i] = run[np.searchsorted(run, ends[i], "right") - 1]
-    return np.unique(pick)
+    first = pos[: n - w + 1]
+    return (first + (((_LOW - (low & _LOW)) - first) & _LOW)).astype(np.int64)
+
+
+def winnow(h: np.ndarray, w: int) -> np.ndarray:
+    """Positions picked by winnowing (of the whole, if there are fewer than w hashes).
+
+    Two sequences that share w + k - 1 consecutive values share the hash of at least one picked k-gram there.
+    """
+    if not len(h):
+        return np.empty(0, np.int64)
+    return np.unique(window_picks(h, min(w, len(h))))
