@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 _WHERE = {
     "leakage": ["p7_found"],
     "neardup": ["p1_found", "p1_groups"],
+    "mixing": ["p8_mix", "p8_shares"],
     "pairs": ["p5_found"],
     "residue": ["p9_found", "p9_messages"],
     "sentences": ["p3_found"],
     "sharedspans": ["p4_found", "p4_report", "p4_passages"],
+    "tokens": ["p2_budget", "p2_against_log"],
     "splitting": ["p6_found", "p6_pieces"],
 }
 
