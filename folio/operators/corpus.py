@@ -132,18 +132,32 @@ def bounded_words(df: DataFrame, text: str, least: int) -> DataFrame:
     return df.where(word_count(F.col(text)) >= least)
 
 
-def leak_free(candidates: DataFrame, held_out: DataFrame, key: str, text: str, passage: str, k: int = 24) -> DataFrame:
-    """Candidates that hold no held-out passage verbatim. A k-gram of every passage, the one of least hash, is looked
-    up among the candidates' k-grams, so that no pair of texts is compared without a common k-gram; shorter
-    passages are their own k-gram group and are looked up whole."""
-    n = F.length(passage)
-    grams = lambda c, size: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(size)))
-    long = held_out.where(n >= k).select(F.col(passage).alias("_p")).distinct()
-    long = long.withColumn("_g", F.array_min(F.transform(grams(F.col("_p"), k), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
-    cand = candidates.where(F.length(text) >= k).select(key, F.col(text).alias("_t"))
-    exploded = cand.select(key, F.explode(F.array_distinct(grams(F.col("_t"), k))).alias("_g")).join(long.select("_g").distinct(), "_g", "left_semi")
-    hit = exploded.join(long, "_g").join(cand, key).where(F.contains("_t", "_p")).select(key).distinct()
-    return candidates.join(hit, key, "left_anti")
+def leak_free(candidates: DataFrame, held_out: DataFrame, key: str, text: str, passage: str, k: int = 24, sparse: int = 16) -> DataFrame:
+    """Candidates that hold no held-out passage verbatim; null texts hold none.
+
+    Passages and candidates meet in equal k-grams, of which only those with a hash divisible by ``sparse`` are spelled
+    out. A passage without such a k-gram, or one shorter than k, is looked up by its first gram of at most k characters
+    among all grams of that length. Every meeting is checked on the texts."""
+    cand = candidates.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_t"))
+    items = held_out.where(F.length(passage) > 0).select(F.col(passage).alias("_p")).distinct()
+
+    def grams(c: Column, size: int, rare: bool) -> Column:
+        last = F.length(c) - size + 1
+        all_ = F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(c, i, F.lit(size))))
+        return F.filter(all_, lambda g: F.pmod(F.xxhash64(g), F.lit(sparse)) == 0) if rare else all_
+
+    items = items.withColumn("_g", F.get(grams(F.col("_p"), k, True), F.lit(0)))
+    dense = items.where("_g is null").withColumn("_g", F.substring("_p", 1, k))
+    sizes = [r[0] for r in dense.select(F.length("_g").alias("n")).distinct().collect()]  # at most k numbers
+
+    def meet(probes: DataFrame, size: int, rare: bool) -> DataFrame:
+        held = cand.select(key, F.explode(F.array_distinct(grams(F.col("_t"), size, rare))).alias("_g"))
+        return held.join(probes, "_g").join(cand, key).where(F.contains("_t", "_p")).select(key)
+
+    hit = meet(items.where("_g is not null"), k, True)
+    for n in sizes:
+        hit = hit.unionByName(meet(dense.where(F.length("_g") == n), n, False))
+    return candidates.join(hit.distinct(), key, "left_anti")
 
 
 def greedy_oracle(sents: Column, reference: Column, most: int = 3, gain: float = 0.01) -> Column:
