@@ -71,12 +71,12 @@ def answer_correct(prediction: Column, reference: Column) -> Column:
     return F.coalesce((F.length(ref) > 0) & F.contains(pred, ref), F.lit(False))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of n tokens, joined by a space, in order; empty if there are fewer."""
+def ngrams(tokens: Column, n: int, joiner: str = " ") -> Column:
+    """All runs of n tokens, joined, in order; empty if there are fewer."""
     return let(
         tokens,
         lambda t: F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(
-            F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - n, F.lit(0))), lambda i: F.array_join(F.slice(t, i + 1, F.lit(n)), " "))
+            F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - n, F.lit(0))), lambda i: F.array_join(F.slice(t, i + 1, F.lit(n)), joiner))
         ),
     )
 

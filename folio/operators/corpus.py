@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import find, occurrences, word_count
+from folio.functions.text import find, ngrams, occurrences, word_count
 from folio.operators.fold import ordered_fold
 
 
@@ -142,8 +142,8 @@ def leak_free(candidates: DataFrame, held_out: DataFrame, key: str, text: str, p
     items = held_out.where(F.length(passage) > 0).select(F.col(passage).alias("_p")).distinct()
 
     def grams(c: Column, size: int, rare: bool) -> Column:
-        last = F.length(c) - size + 1
-        all_ = F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(c, i, F.lit(size))))
+        # slices of the array of characters: a substring is looked for from the text's start each time
+        all_ = ngrams(F.split(c, ""), size, "")
         return F.filter(all_, lambda g: F.pmod(F.xxhash64(g), F.lit(sparse)) == 0) if rare else all_
 
     items = items.withColumn("_g", F.get(grams(F.col("_p"), k, True), F.lit(0)))
