@@ -87,7 +87,7 @@ def span_report(records: DataFrame, by: list[str] | None = None) -> DataFrame:
     s = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
     out = r.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_chunks"), s(live.cast("long")).alias("n_live"), s(fired.cast("long")).alias("n_fired"), s((F.col("action") == "insert").cast("long")).alias("n_inserted"),
+        F.count(F.lit(1)).alias("n_chunks"), s(live.cast("long")).alias("n_live"), s(fired.cast("long")).alias("n_fired"), s((live & (F.col("action") == "insert")).cast("long")).alias("n_inserted"),
         s(F.col("fallback").cast("long")).alias("n_fallback"), s(F.col("failed").cast("long")).alias("n_failed"), s(n_ret).alias("n_retrieved"),
         s(total(F.col("_spans"))).alias("span_total"), F.coalesce(F.max(F.array_max("_spans")), F.lit(0)).cast("long").alias("max_span"),
         s(total(F.col("thread_spans"))).alias("thread_span_total"), F.coalesce(F.max(F.array_max("thread_spans")), F.lit(0)).cast("long").alias("max_thread_span"),
