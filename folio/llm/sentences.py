@@ -190,7 +190,9 @@ def _features(text: str, a: int, b: int, end: int, start: int, last: int, quotes
         elif klass != "none":
             feats.append("class=" + klass)
         letters = raw.lstrip("(“‘„«\"'—¿¡[")
-        if len(letters) == 1 and letters.isalpha() and raw[:1] != "(" and _script(letters) == "latin" and klass == "none":
+        if len(letters) == 1 and letters.islower() and re.search(r"\d\s$", text[max(0, a - 3) : a - 1]):
+            feats.append("shape=unit")  # a figure with its unit
+        elif len(letters) == 1 and letters.isalpha() and raw[:1] != "(" and _script(letters) == "latin" and klass == "none":
             feats.append("shape=initial")
             klass = "initial"
         elif "." in letters[:-1] and not any(c.isdigit() for c in letters) and klass == "none":
