@@ -69,7 +69,7 @@ def plan(counts: DataFrame, targets: DataFrame, total: int | None = None) -> Dat
 
 def mix(counts: DataFrame, plan_: DataFrame) -> DataFrame:
     """The mix: source, doc_id, repeat (from 0), n_tokens and position in [0, 1), sorted by position. counts: doc_id, source, n_tokens."""
-    docs = counts.where("n_tokens > 0").join(F.broadcast(plan_), "source").withColumn("h", F.xxhash64("doc_id"))
+    docs = counts.select("doc_id", "source", "n_tokens").where("n_tokens > 0").join(F.broadcast(plan_), "source").withColumn("h", F.xxhash64("doc_id"))
     docs = docs.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 40), F.lit(BUCKETS)).cast("int"))
     sums = docs.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))  # at most BUCKETS rows a source
     before = sums.withColumn("base", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).select("source", "bucket", "base")

@@ -88,7 +88,7 @@ def plain(text: str) -> str:
     return " ".join(out)
 
 
-def language(text: str | None) -> str | None:
+def language(text: str | None, least: int = 2) -> str | None:
     """Main language, None if too little speaks for any."""
     if not text:
         return None
@@ -108,7 +108,7 @@ def language(text: str | None) -> str | None:
     score["de"] += 2 * len(re.findall("[ßäöü„]", text.lower())) + len(re.findall(r"\b(?:Nr|Abs|Mio)\.", text))
     score["fr"] += len(re.findall("[çêèœàù]", text.lower())) + len(re.findall(r"\b[ldnqcj]’", text.lower()))
     top = sorted(score.items(), key=lambda x: -x[1])
-    if top[0][1] < 2 or top[0][1] == top[1][1]:
+    if top[0][1] < least or top[0][1] == top[1][1]:
         return None
     return top[0][0]
 
@@ -174,7 +174,7 @@ def defect(target: str | None, input_text: str | None, previous: str | None, chu
         s = squeeze(source)
         if s and (s in forms or squeeze(unlabelled(source)) in forms):
             return "copy"
-    own, theirs = language(plain(stripped)) or language(stripped), language(plain(passage)) or language(passage)
+    own, theirs = (language(plain(t), 1) or language(t) for t in (stripped, passage))
     if own and theirs and own != theirs:
         return "language"
     state = cut_off(target)
