@@ -122,7 +122,8 @@ def is_heading(text: Column) -> Column:
     """At most twelve words, and a heading pattern or all letters upper case with at least one letter."""
     letters = F.regexp_replace(text, r"[^\p{L}]", "")
     shouted = (F.length(letters) > 0) & (letters == F.upper(letters))
-    return (word_count(text) <= 12) & (text.rlike(HEADING) | shouted)
+    few = F.size(F.filter(F.split(text, WS + "+", 14), lambda w: w != "")) <= 12  # no more than that is split off
+    return few & (text.rlike(HEADING) | shouted)
 
 
 def is_structural_break(text: Column) -> Column:

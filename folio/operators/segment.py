@@ -29,7 +29,8 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     w = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.length("_p.block") + F.coalesce(F.length("_p.gap"), F.lit(0))).over(w), F.lit(0))
     lead = F.length("_p.block") - F.length(F.regexp_replace("_p.block", "^" + WS + "+", ""))
-    out = rows.select(key, "_i", collapse(F.col("_p.block")).alias("text"), (before + lead).cast("long").alias("char_offset")).where("text <> ''")
+    out = rows.select(key, "_i", F.col("_p.block").alias("_b"), (before + lead).cast("long").alias("char_offset")).where(F.col("_b").rlike("[^" + WS[1:]))
+    out = out.select(key, "_i", collapse(F.col("_b")).alias("text"), "char_offset")
     idx = F.row_number().over(Window.partitionBy(key).orderBy("_i")) - 1
     return out.select(key, idx.cast("long").alias("para_idx"), "text", "char_offset", is_structural_break(F.col("text")).alias("is_scene_break"))
 
@@ -189,6 +190,7 @@ class _Pages:
 
 def paginate_words(units: DataFrame, key: str = "doc_id", low: int = 100, high: int = 300) -> DataFrame:
     """units: key, pos, n_words, is_scene_break. Gives key, chunk_idx, first_pos, last_pos, n_words."""
+    units = units.select(key, "pos", "n_words", "is_scene_break")
     return ordered_fold(units, [key], ["pos"], lambda: _Pages(low, high), "chunk_idx long, first_pos long, last_pos long, n_words long")
 
 
@@ -246,6 +248,7 @@ class _Seams:
 
 def paginate_semantic(units: DataFrame, key: str = "doc_id", low: int = 100, high: int = 300) -> DataFrame:
     """units: key, pos, n_words, is_scene_break, seam (to the next unit). Gives key, chunk_idx, first_pos, last_pos, n_words."""
+    units = units.select(key, "pos", "n_words", "is_scene_break", "seam")
     return ordered_fold(units, [key], ["pos"], lambda: _Seams(low, high), "chunk_idx long, first_pos long, last_pos long, n_words long")
 
 

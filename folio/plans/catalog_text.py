@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as T
 from folio.operators import segment as S
 from folio.plans.registry import query
-from folio.runtime import read
+from folio.runtime import read, spread
 
 W = T.WS
 WORDS = lambda c: f"list_filter(string_split_regex({c}, '{W}+'), lambda w: w <> '')"
@@ -20,7 +20,7 @@ SENTENCES = lambda c: f"""list_filter(list_transform(string_split(regexp_replace
 
 
 def docs(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    return read(spark, d, "documents", "doc_id", "text", *more).where("text is not null")
+    return spread(read(spark, d, "documents", "doc_id", "text", *more).where("text is not null"))
 
 
 @query("x01_word_count", f"SELECT doc_id, CAST(len({WORDS('text')}) AS BIGINT) AS n_words FROM documents WHERE text IS NOT NULL")

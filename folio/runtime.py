@@ -65,3 +65,10 @@ def cut(df: DataFrame) -> DataFrame:
 def shuffle_parts(spark: SparkSession, least: int = 12) -> int:
     """The session's shuffle width, at least ``least``."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it has fewer partitions than those: a table in one small file is one partition,
+    however costly its rows are. Tables of many files pass through without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
