@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.textkeys import codes, grams, window_picks
-from folio.runtime import read, ship
+from folio.runtime import read, ship, spread
 
 WORDS, CHARS = 14, 40
 K = {"w": 8, "c": 24}
@@ -216,7 +216,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, max_probe: int = MAX_PR
     spark = documents.sparkSession
     ship(spark)
     passages, owners = passages_of(items)
-    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    docs = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
     size = passages.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("passage")).alias("chars")).first()
     if (size["chars"] or 0) <= 4 * max_probe:  # a passage has fewer fingerprints than characters
         rows = [(r["pid"], r["mode"], r["passage"]) for r in passages.collect()]

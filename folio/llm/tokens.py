@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.runtime import read, ship
+from folio.runtime import read, ship, spread
 
 SPACE = "▁"
 UNIT = re.compile(r" ?\S+| +(?= )|\s")
@@ -146,7 +146,7 @@ def token_counts(df: DataFrame, keys: list[str], path: str | None = None) -> Dat
     ship(spark)
     pieces = spark.sparkContext.broadcast(pieces_of(path))  # a vocabulary: tens of thousands of short strings
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", n_tokens long"
-    return df.select(*keys, "text").mapInPandas(_counter(pieces, keys), schema)
+    return spread(df.select(*keys, "text")).mapInPandas(_counter(pieces, keys), schema)
 
 
 def slice_name(c: Column) -> Column:
