@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 #: Unicode white space, spelled out because engines differ on the shorthand.
 WS = r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The marks and patterns of structural breaks, and the words that carry no content.
 BREAK_MARKS = r"^[*※•○●◇◆\-·~ \t\n\r]+$"
-HEADING = r"(?i)^(chapter|part|book|section|act|scene|prologue|epilogue|volume)\b|^[ivxlcdm]+\.?$|^#{1,6}\s"
-#: Words that carry no content.
+HEADING = r"(?i)^(#{1,6}\s|(section|article|chapter)\s+\d|§\s*\d|[ivxlcdm]{1,6}\.\s|\d+(\.\d+)*\.?\s|\([a-z0-9]{1,4}\)\s)"
 STOPLIST = (
-    "a an the and or but if of to in on at by for with from as is are was were be been being it its this that these those he she they we you i his her their our your not"
+    "a an the and or but if of to in on at for with by from as is are was were be been it its this that he she they them his her their has have had will would can could not no"
 ).split()
 
 
@@ -86,9 +86,11 @@ def content_words(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z']+)"), F.lit(1)), lambda w: ~w.isin(*STOPLIST))
 
 
-def content_overlap(answer: Column, text: Column) -> Column:
-    """Whether a content word of the answer stands among the words of the text; true if the answer has none."""
-    return let(F.struct(content_words(answer).alias("a"), content_words(text).alias("b")), lambda p: (F.size(p["a"]) == 0) | F.arrays_overlap(p["a"], p["b"]))
+def content_overlap(summary: Column, document: Column) -> Column:
+    """Share of the summary's content words that stand in the document; 1.0 if it has none."""
+    latin = F.regexp_extract_all(F.lower(document), F.lit("([a-z']+)"), F.lit(1))
+    share = lambda p: F.when(F.size(p["a"]) == 0, F.lit(1.0)).otherwise(F.size(F.filter(p["a"], lambda w: F.array_contains(p["b"], w))) / F.size(p["a"]).cast("double"))
+    return let(F.struct(content_words(summary).alias("a"), F.array_distinct(latin).alias("b")), share)
 
 
 def token_f1(answer: Column, summary: Column) -> Column:
@@ -121,7 +123,7 @@ def novel_ratio(generated: Column, source: Column, n: int = 3) -> Column:
 def is_heading(text: Column) -> Column:
     """At most twelve words, and a heading pattern or all letters upper case with at least one letter."""
     letters = F.regexp_replace(text, r"[^\p{L}]", "")
-    shouted = (F.length(letters) > 0) & (letters == F.upper(letters))
+    shouted = letters.rlike(r"^\p{Lu}+$")
     few = F.size(F.filter(F.split(text, WS + "+", 14), lambda w: w != "")) <= 12  # no more than that is split off
     return few & (text.rlike(HEADING) | shouted)
 

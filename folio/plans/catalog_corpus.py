@@ -253,3 +253,53 @@ def _(spark, d):
 def _(spark, d):
     p = read(spark, d, "stage2_pair", "pair_id", "conditioning", "target_text").groupBy("pair_id").agg(F.max("conditioning").alias("c"), F.max("target_text").alias("t")).where("t is not null and c is not null")
     return p.groupBy(F.lower(F.trim("c")).alias("variant")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("t")), 6).alias("mean_chars"))
+
+
+@query("b04_excerpts", "SELECT doc_slug, CAST(count(*) AS BIGINT) AS n_excerpts, CAST(sum(length(text)) + 7 * (count(*) - 1) AS BIGINT) AS n_chars FROM documents WHERE text IS NOT NULL AND lower(trim(genre)) = 'caselaw' GROUP BY doc_slug")
+def _(spark, d):
+    """Case-law excerpts of a work joined by a separator of seven characters."""
+    k = docs(spark, d, "doc_slug", "genre").where(F.lower(F.trim("genre")) == "caselaw")
+    return k.groupBy("doc_slug").agg(F.count(F.lit(1)).alias("n_excerpts"), (F.sum(F.length("text")) + 7 * (F.count(F.lit(1)) - 1)).alias("n_chars"))
+
+
+@query("b05_long_form_corpus")
+def _(spark, d):
+    """Works long enough, without boilerplate, cut at a paragraph, with answers found verbatim."""
+    from folio.operators.segment import paragraphs, truncate_at_paragraph
+
+    t = docs(spark, d, "genre").where(F.lower(F.trim("genre")) == "novel").withColumn("text", T.strip_boilerplate(F.col("text")))
+    kept = truncate_at_paragraph(paragraphs(C.bounded_words(t, "text", 120)), 300)
+    body = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
+    v = body.withColumn("v", C.first_variant(F.col("body"), F.regexp_extract_all("body", F.lit(r"(\d{4})"), F.lit(1)))).where("v is not null")
+    return v.select("doc_id", F.col("v.answer").alias("answer"), F.col("v.pos").alias("evidence_char_pos"), T.word_index(F.col("body"), F.col("v.pos")).alias("evidence_word_pos"))
+
+
+@query("b06_statute_corpus")
+def _(spark, d):
+    """Sections of statutes joined by work; question lines parsed; answers found inside their section, once."""
+    s = docs(spark, d, "doc_slug", "genre").where(F.lower(F.trim("genre")) == "statute").where(T.word_count(F.col("text")) >= 30)
+    placed = C.concat_offsets(s, ["doc_slug"], "doc_id", "text", 2)
+    number = F.regexp_extract("text", r"(\d[\d,.]*\d)", 1)
+    reply = F.concat(F.lit("Q: Which figure?\nA: "), number)
+    qa = placed.where(number != "").select("doc_slug", "doc_id", "offset", "text", F.explode(T.qa_lines(reply)).alias("p"))
+    ok = qa.where(C.rare_enough(F.col("text"), F.col("p.a"), 1))
+    return ok.select("doc_slug", "doc_id", F.col("p.a").alias("answer"), (F.col("offset") + T.find(F.col("text"), F.col("p.a"))).alias("evidence_char_pos"))
+
+
+@query("y10_sql_functions", f"SELECT item_id, CAST(len({WORDS('passage')}) AS BIGINT) AS n_words, CAST(ceil(len({WORDS('passage')}) / 10.0) AS BIGINT) AS n_windows FROM eval_item")
+def _(spark, d):
+    """The SQL surface: a temporary function and a table function in one statement."""
+    from folio.functions.register import register
+
+    register(spark)
+    read(spark, d, "eval_item", "item_id", "passage").createOrReplaceTempView("folio_items")
+    return spark.sql("SELECT item_id, CAST(size(folio_words(passage)) AS BIGINT) AS n_words, CAST(count(*) AS BIGINT) AS n_windows FROM folio_items, LATERAL folio_word_windows(passage, 10) GROUP BY item_id, passage")
+
+
+@query("s10_links")
+def _(spark, d):
+    """Distinct link targets of pages made of the documents, with the first page that has them."""
+    from folio.operators.segment import links
+
+    page = F.concat(F.lit("<a href='/"), F.coalesce("source", F.lit("none")), F.lit("'>x</a><a class=k href=\"#top\">[y]</a>"))
+    return links(read(spark, d, "documents", "doc_id", "source").select("doc_id", page.alias("html")), "doc_id", "html", "^/")

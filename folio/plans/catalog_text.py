@@ -71,9 +71,12 @@ _STOP = ",".join(f"'{w}'" for w in T.STOPLIST)
 _CONTENT = lambda c: f"list_filter(regexp_extract_all(lower({c}), '([a-z'']+)', 1), lambda w: w NOT IN ({_STOP}))"
 
 
-@query("x09_content_overlap", f"SELECT item_id, len({_CONTENT('question')}) = 0 OR list_has_any({_CONTENT('question')}, {_CONTENT('passage')}) AS ok FROM eval_item")
+_LATIN = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '([a-z'']+)', 1))"
+
+
+@query("x09_content_overlap", f"WITH o AS (SELECT item_id, {_CONTENT('question')} AS a, {_LATIN('passage')} AS b FROM eval_item) SELECT item_id, round(CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_filter(a, lambda w: list_contains(b, w)))::DOUBLE / len(a) END, 6) AS overlap FROM o")
 def _(spark, d):
-    return read(spark, d, "eval_item").select("item_id", T.content_overlap(F.col("question"), F.col("passage")).alias("ok"))
+    return read(spark, d, "eval_item").select("item_id", F.round(T.content_overlap(F.col("question"), F.col("passage")), 6).alias("overlap"))
 
 
 @query("x10_templates", "SELECT item_id, 'generate question: answer: ' || answer || ' context: ' || passage AS prompt FROM eval_item")
@@ -184,7 +187,7 @@ def _(spark, d):
     return S.paragraphs(docs(spark, d)).drop("is_scene_break")
 
 
-@query("p03_structural_break", f"""SELECT doc_id, para_idx, regexp_matches(text, '{T.BREAK_MARKS}') OR (len({WORDS('text')}) <= 12 AND (regexp_matches(text, '{T.HEADING}') OR (length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) > 0 AND regexp_replace(text, '[^\\p{{L}}]', '', 'g') = upper(regexp_replace(text, '[^\\p{{L}}]', '', 'g'))))) AS is_break
+@query("p03_structural_break", f"""SELECT doc_id, para_idx, regexp_matches(text, '{T.BREAK_MARKS}') OR (len({WORDS('text')}) <= 12 AND (regexp_matches(text, '{T.HEADING}') OR regexp_matches(regexp_replace(text, '[^\\p{{L}}]', '', 'g'), '^\\p{{Lu}}+$'))) AS is_break
 FROM (SELECT doc_id, para_idx, max(text) AS text FROM paragraph GROUP BY ALL)""")
 def _(spark, d):
     p = read(spark, d, "paragraph", "doc_id", "para_idx", "text").groupBy("doc_id", "para_idx").agg(F.max("text").alias("text"))

@@ -36,8 +36,8 @@ def test_novel_ratio_short_is_zero(spark):
 
 
 def test_headings_and_breaks(spark):
-    got = col(spark, ["* * *", "CHAPTER ONE", "A plain sentence follows here.", "※", "## Notes"], T.is_structural_break)
-    assert got == [True, True, False, True, True]
+    got = col(spark, ["* * *", "CHAPTER ONE", "A plain sentence follows here.", "※", "## Notes", "日本語", "IV. Mine"], T.is_structural_break)
+    assert got == [True, True, False, True, True, False, True]
 
 
 def test_sentences_keep_quotes(spark):
