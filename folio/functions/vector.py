@@ -53,12 +53,14 @@ def score_all(items: DataFrame, queries: DataFrame) -> DataFrame:
     for b in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).where("vec is not null").collect()
         ids = np.array([r["query_id"] for r in rows], np.int64)
+        if not rows:
+            continue
         m = np.array([r["vec"] for r in rows], np.float64).reshape(len(rows), -1)
-        norm = np.sqrt((m * m).sum(axis=1, keepdims=True)) if len(rows) else m
-        unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0) if len(rows) else m
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
         one = items.select("item_id", "vec").mapInPandas(_scorer(ids, unit), "query_id long, item_id long, score double")
         out = one if out is None else out.unionByName(one)
-    return out
+    return out if out is not None else spark.createDataFrame([], "query_id long, item_id long, score double")
 
 
 def softmax(score: Column, over: list[str], temperature: float) -> Column:
