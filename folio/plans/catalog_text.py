@@ -182,12 +182,12 @@ p AS (SELECT doc_id, i, {COLLAPSE('block')} AS text, pre + length(block) - lengt
 paras AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS para_idx, text, char_offset FROM p WHERE text <> '')"""
 
 
-@query("p01_paragraphs", f"WITH {_PARAS} SELECT doc_id, CAST(para_idx AS BIGINT) AS para_idx, text, CAST(char_offset AS BIGINT) AS char_offset FROM paras".replace("p01_", ""))
+@query("seg01_paragraphs", f"WITH {_PARAS} SELECT doc_id, CAST(para_idx AS BIGINT) AS para_idx, text, CAST(char_offset AS BIGINT) AS char_offset FROM paras")
 def _(spark, d):
     return S.paragraphs(docs(spark, d)).drop("is_scene_break")
 
 
-@query("p03_structural_break", f"""SELECT doc_id, para_idx, regexp_matches(text, '{T.BREAK_MARKS}') OR (len({WORDS('text')}) <= 12 AND (regexp_matches(text, '{T.HEADING}') OR regexp_matches(regexp_replace(text, '[^\\p{{L}}]', '', 'g'), '^\\p{{Lu}}+$'))) AS is_break
+@query("seg03_structural_break", f"""SELECT doc_id, para_idx, regexp_matches(text, '{T.BREAK_MARKS}') OR (len({WORDS('text')}) <= 12 AND (regexp_matches(text, '{T.HEADING}') OR regexp_matches(regexp_replace(text, '[^\\p{{L}}]', '', 'g'), '^\\p{{Lu}}+$'))) AS is_break
 FROM (SELECT doc_id, para_idx, max(text) AS text FROM paragraph GROUP BY ALL)""")
 def _(spark, d):
     p = read(spark, d, "paragraph", "doc_id", "para_idx", "text").groupBy("doc_id", "para_idx").agg(F.max("text").alias("text"))
@@ -197,12 +197,12 @@ def _(spark, d):
 _SENT = f"(SELECT doc_id, unnest(range(len({SENTENCES('text')}))) AS i, {SENTENCES('text')} AS s FROM documents WHERE text IS NOT NULL)"
 
 
-@query("p04_sentences", f"SELECT doc_id, CAST(i AS BIGINT) AS sent_idx, s[i+1] AS sentence FROM {_SENT}")
+@query("seg04_sentences", f"SELECT doc_id, CAST(i AS BIGINT) AS sent_idx, s[i+1] AS sentence FROM {_SENT}")
 def _(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_idx", "sentence")).withColumn("sent_idx", F.col("sent_idx").cast("long"))
 
 
-@query("p05_sentence_spans")
+@query("seg05_sentence_spans")
 def _(spark, d):
     """Spans by forward search, on paragraphs, whose white space is normal."""
     p = read(spark, d, "paragraph", "doc_id", "para_idx", "text").groupBy("doc_id", "para_idx").agg(F.max("text").alias("text"))
@@ -215,23 +215,23 @@ def _sentence_units(spark, d):
     return rows.withColumn("pos", F.col("para_idx") * 100000 + F.col("sent_idx")).withColumn("n_words", T.word_count(F.col("sentence")))
 
 
-@query("p06_dialogue_groups")
+@query("seg06_dialogue_groups")
 def _(spark, d):
     return S.dialogue_groups(S.sentence_rows(S.paragraphs(docs(spark, d)), ["doc_id", "para_idx"]), ["doc_id", "para_idx"])
 
 
-@query("p07_paginate_words")
+@query("seg07_paginate_words")
 def _(spark, d):
     return S.paginate_words(_sentence_units(spark, d))
 
 
-@query("p08_semantic_units", "SELECT doc_id, unit_idx, CAST(len(array_to_string(max(list_transform(items, lambda x: x.sentence)), ' ')) AS BIGINT) AS n_chars, CAST(len(max(items)) AS BIGINT) AS n_items FROM semantic_unit GROUP BY doc_id, unit_idx")
+@query("seg08_semantic_units", "SELECT doc_id, unit_idx, CAST(len(array_to_string(max(list_transform(items, lambda x: x.sentence)), ' ')) AS BIGINT) AS n_chars, CAST(len(max(items)) AS BIGINT) AS n_items FROM semantic_unit GROUP BY doc_id, unit_idx")
 def _(spark, d):
     u = read(spark, d, "semantic_unit", "doc_id", "unit_idx", "items").groupBy("doc_id", "unit_idx").agg(F.max("items").alias("items"))
     return u.select("doc_id", "unit_idx", F.length(F.array_join("items.sentence", " ")).cast("long").alias("n_chars"), F.when(F.col("items").isNotNull(), F.size("items")).cast("long").alias("n_items"))
 
 
-@query("p10_paginate_semantic")
+@query("seg10_paginate_semantic")
 def _(spark, d):
     """Chunks of the stored units, cut at the weakest seam between hashed word vectors."""
     from folio.operators.connect import embed_texts
@@ -243,40 +243,40 @@ def _(spark, d):
     return S.paginate_semantic(S.seam_scores(units, "doc_id").select("doc_id", "pos", "n_words", "is_scene_break", "seam"))
 
 
-@query("p13_word_spans")
+@query("seg13_word_spans")
 def _(spark, d):
     return S.word_spans(docs(spark, d), 200)
 
 
-@query("p14_word_windows", f"WITH w AS (SELECT doc_id, {WORDS('text')} AS w FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, w, unnest(range(CAST(ceil(len(w) / 120.0) AS BIGINT))) AS k FROM w) SELECT doc_id, CAST(k AS BIGINT) AS window_idx, array_to_string(w[k*120+1:k*120+120], ' ') AS words FROM k")
+@query("seg14_word_windows", f"WITH w AS (SELECT doc_id, {WORDS('text')} AS w FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, w, unnest(range(CAST(ceil(len(w) / 120.0) AS BIGINT))) AS k FROM w) SELECT doc_id, CAST(k AS BIGINT) AS window_idx, array_to_string(w[k*120+1:k*120+120], ' ') AS words FROM k")
 def _(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(T.word_windows(F.col("text"), 120)).alias("window_idx", "words")).withColumn("window_idx", F.col("window_idx").cast("long"))
 
 
-@query("p15_truncate_words", f"WITH w AS (SELECT doc_id, {WORDS('text')} AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, array_to_string(w[1:15], ' ') || CASE WHEN len(w) > 15 THEN '...' ELSE '' END AS head FROM w")
+@query("seg15_truncate_words", f"WITH w AS (SELECT doc_id, {WORDS('text')} AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, array_to_string(w[1:15], ' ') || CASE WHEN len(w) > 15 THEN '...' ELSE '' END AS head FROM w")
 def _(spark, d):
     return docs(spark, d).select("doc_id", T.truncate_words(F.col("text"), 15, "...").alias("head"))
 
 
-@query("p16_truncate_at_paragraph", f"WITH {_PARAS}, c AS (SELECT *, sum(len({WORDS('text')})) OVER (PARTITION BY doc_id ORDER BY para_idx) AS cum FROM paras), s AS (SELECT *, min(CASE WHEN cum > 150 AND para_idx > 0 THEN para_idx END) OVER (PARTITION BY doc_id) AS stop FROM c) SELECT doc_id, CAST(count(*) AS BIGINT) AS n_paras, CAST(max(char_offset + length(text)) AS BIGINT) AS n_chars FROM s WHERE stop IS NULL OR para_idx < stop GROUP BY doc_id")
+@query("seg16_truncate_at_paragraph", f"WITH {_PARAS}, c AS (SELECT *, sum(len({WORDS('text')})) OVER (PARTITION BY doc_id ORDER BY para_idx) AS cum FROM paras), s AS (SELECT *, min(CASE WHEN cum > 150 AND para_idx > 0 THEN para_idx END) OVER (PARTITION BY doc_id) AS stop FROM c) SELECT doc_id, CAST(count(*) AS BIGINT) AS n_paras, CAST(max(char_offset + length(text)) AS BIGINT) AS n_chars FROM s WHERE stop IS NULL OR para_idx < stop GROUP BY doc_id")
 def _(spark, d):
     kept = S.truncate_at_paragraph(S.paragraphs(docs(spark, d)), 150)
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_paras"), F.max(F.col("char_offset") + F.length("text")).cast("long").alias("n_chars"))
 
 
-@query("p17_strip_boilerplate", f"SELECT doc_id, regexp_replace(text, '^{W}+|{W}+$', '', 'g') AS body FROM (SELECT doc_id, replace(replace(text, chr(10), ' '), chr(13), ' ') AS text FROM documents WHERE text IS NOT NULL)")
+@query("seg17_strip_boilerplate", f"SELECT doc_id, regexp_replace(text, '^{W}+|{W}+$', '', 'g') AS body FROM (SELECT doc_id, replace(replace(text, chr(10), ' '), chr(13), ' ') AS text FROM documents WHERE text IS NOT NULL)")
 def _(spark, d):
     """Marks are put around each text first, so that there is something to strip."""
     t = F.regexp_replace("text", "[\\n\\r]", " ")
     return docs(spark, d).select("doc_id", T.strip_boilerplate(F.concat(F.lit("licence\n*** START OF BOOK ***\n"), t, F.lit("\n*** END OF BOOK ***\nmore"))).alias("body"))
 
 
-@query("p18_chunk_runs")
+@query("seg18_chunk_runs")
 def _(spark, d):
     return S.chunk_runs(read(spark, d, "chunk", "doc_id", "chunk_idx").distinct(), "doc_id", "chunk_idx", 3, 2)
 
 
-@query("p02_html_paragraphs")
+@query("seg02_html_paragraphs")
 def _(spark, d):
     """Paragraphs of the texts as simple pages."""
     html = F.concat(F.lit("<html><script>var a = '<p>no</p>';</script><p>"), F.regexp_replace("text", BLANK_HTML, "<p>"), F.lit("</html>"))

@@ -262,7 +262,7 @@ def _(spark, d):
     return R.pad(s.join(kept, ["query_id", "item_id"], "left").fillna(False, ["kept"]), ["query_id", "label"], 1).where("padded").select("query_id", "item_id")
 
 
-@query("p09_seam_scores", f"WITH o AS (SELECT vec_id, label, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings) SELECT label, vec_id, round(round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(nxt AS DOUBLE[])), 10), 6) AS seam FROM o")
+@query("seg09_seam_scores", f"WITH o AS (SELECT vec_id, label, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings) SELECT label, vec_id, round(round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(nxt AS DOUBLE[])), 10), 6) AS seam FROM o")
 def _(spark, d):
     from folio.operators.segment import seam_scores
 
