@@ -35,7 +35,7 @@ WITH g AS (
   FROM teacher_gists_anticollapse_wiki20_pilot GROUP BY gist_id
 ), m AS (
   SELECT 'slot' AS record_kind, doc_key AS grp, slot_id AS id,
-         list_transform(list_distinct(list_filter(any_value(origin_indices), x -> x IS NOT NULL)), x -> CAST(x AS VARCHAR)) AS s
+         list_transform(list_distinct(list_filter(any_value(origin_indices), lambda x: x IS NOT NULL)), lambda x: CAST(x AS VARCHAR)) AS s
   FROM memory_slot WHERE doc_key IS NOT NULL GROUP BY slot_id, doc_key
 ), r AS (SELECT * FROM g WHERE len(s) > 0 UNION ALL SELECT * FROM m WHERE len(s) > 0)
 SELECT a.record_kind, a.id AS id_a, b.id AS id_b
