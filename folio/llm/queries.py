@@ -15,7 +15,7 @@ _WHERE = {
     "residue": ["p9_found", "p9_messages"],
     "sentences": ["p3_found"],
     "sharedspans": ["p4_found", "p4_report", "p4_passages"],
-    "tokens": ["p2_budget", "p2_against_log"],
+    "tokens": ["p2_documents", "p2_budget", "p2_against_log"],
     "splitting": ["p6_found", "p6_pieces"],
 }
 

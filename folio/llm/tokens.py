@@ -195,6 +195,17 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang", "genre"), read(spark, sf_dir, "chunk", "doc_id", "chunk_idx", "text")
 
 
+def p2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document and chunk with its source, language and genre in one spelling."""
+    documents, chunks = _inputs(spark, sf_dir)
+    labels = ["doc_id", "source", "lang", "genre"]
+    slices = [slice_name(F.col("source")).alias("source"), language_code(F.col("lang")).alias("lang"), slice_name(F.col("genre")).alias("genre")]
+    d = token_counts(documents.select(*labels, "text"), labels).select("doc_id", F.lit(None).cast("int").alias("chunk_idx"), *slices, "n_tokens")
+    one = chunks.groupBy("doc_id", "chunk_idx").agg(F.max("text").alias("text"))
+    c = token_counts(one, ["doc_id", "chunk_idx"]).join(documents.select(*labels), "doc_id", "left").select("doc_id", "chunk_idx", *slices, "n_tokens")
+    return d.unionByName(c)
+
+
 def p2_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of documents and chunks by source, language and genre."""
     return budget(*_inputs(spark, sf_dir))
