@@ -373,3 +373,86 @@ def _(spark, d):
 @query("r19_sorted_report", f"WITH {QA_SQL} SELECT genre, CAST(count(*) AS BIGINT) AS n FROM qa GROUP BY genre ORDER BY n DESC, genre")
 def _(spark, d):
     return qa(spark, d).groupBy("genre").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "genre")
+
+
+@query("f01_compound_filter", f"WITH {QA_SQL} SELECT result_id FROM qa WHERE threshold >= 0.85 AND genre = 'news' AND total_tokens > 1000")
+def _(spark, d):
+    return qa(spark, d).where((F.col("threshold") >= 0.85) & (F.col("genre") == "news") & (F.col("total_tokens") > 1000)).select("result_id")
+
+
+@query("f02_membership", f"WITH {QA_SQL} SELECT result_id FROM qa WHERE genre IN ('novel', 'caselaw')")
+def _(spark, d):
+    return qa(spark, d).where(F.col("genre").isin("novel", "caselaw")).select("result_id")
+
+
+@query("f03_drop_nulls", f"SELECT result_id, CAST(count(*) AS BIGINT) AS n FROM {QA} WHERE prediction IS NOT NULL AND prompt_tokens IS NOT NULL GROUP BY result_id")
+def _(spark, d):
+    return read(spark, d, QA, "result_id", "prediction", "prompt_tokens").na.drop(subset=["prediction", "prompt_tokens"]).groupBy("result_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SCORES = "s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, b.label AS label, round(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0), 10) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)"
+
+
+@query("j07_queries_by_items", f"WITH {_SCORES} SELECT query_id, CAST(count(*) AS BIGINT) AS n, round(avg(score), 6) AS mean FROM s GROUP BY query_id")
+def _(spark, d):
+    from folio.plans.catalog_vector import scored
+
+    return rounded(scored(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean")))
+
+
+@query("j08_other_items", f"WITH {_SCORES} SELECT query_id, label, max(item_id) AS last_item FROM s WHERE score > 0 GROUP BY query_id, label")
+def _(spark, d):
+    from folio.plans.catalog_vector import scored
+
+    return scored(spark, d).where("score > 0").groupBy("query_id", "label").agg(F.max("item_id").alias("last_item"))
+
+
+@query("j12_seams_in_selection", "WITH c AS (SELECT doc_id, chunk_idx FROM chunk GROUP BY ALL HAVING max(length(text)) > 500) SELECT p.doc_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, para_idx, max(CAST(is_scene_break AS INT)) AS b FROM paragraph GROUP BY ALL) p WHERE b IS NOT NULL AND doc_id IN (SELECT doc_id FROM c) GROUP BY p.doc_id")
+def _(spark, d):
+    big = read(spark, d, "chunk", "doc_id", "chunk_idx", "text").groupBy("doc_id", "chunk_idx").agg(F.max(F.length("text")).alias("n")).where("n > 500").select("doc_id")
+    p = read(spark, d, "paragraph", "doc_id", "para_idx", "is_scene_break").groupBy("doc_id", "para_idx").agg(F.max("is_scene_break").alias("b")).where("b is not null")
+    return p.join(big, "doc_id", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a19_positive_rate", "WITH h AS (SELECT hit_id, max(score) AS s FROM hit GROUP BY hit_id) SELECT round(sum(CASE WHEN s >= 0.5 THEN 1 ELSE 0 END) / count(*), 6) AS rate FROM h WHERE s IS NOT NULL")
+def _(spark, d):
+    h = read(spark, d, "hit", "hit_id", "score").groupBy("hit_id").agg(F.max("score").alias("s")).where("s is not null")
+    return h.agg(F.round(F.avg((F.col("s") >= 0.5).cast("double")), 6).alias("rate"))
+
+
+_HITS = "h AS (SELECT hit_id, max(doc_key) AS doc_key, max(score) AS score, CASE WHEN max(chunk_idx) % 5 = 0 THEN 1 ELSE 0 END AS label FROM hit GROUP BY hit_id HAVING max(score) IS NOT NULL AND max(doc_key) IS NOT NULL)"
+
+
+@query("w12_cumulative_hits", f"WITH {_HITS} SELECT hit_id, CAST(sum(label) OVER (PARTITION BY doc_key ORDER BY score DESC, hit_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hits FROM h")
+def _(spark, d):
+    h = read(spark, d, "hit", "hit_id", "doc_key", "score", "chunk_idx").groupBy("hit_id").agg(F.max("doc_key").alias("doc_key"), F.max("score").alias("score"), F.max("chunk_idx").alias("c")).where("score is not null and doc_key is not null")
+    w = Window.partitionBy("doc_key").orderBy(F.desc("score"), "hit_id").rowsBetween(Window.unboundedPreceding, 0)
+    return h.select("hit_id", F.sum((F.col("c") % 5 == 0).cast("long")).over(w).alias("hits"))
+
+
+@query("w11_cumulative_mass", f"WITH {_SCORES}, e AS (SELECT *, exp((score - max(score) OVER (PARTITION BY query_id)) / 0.5) AS e FROM s), m AS (SELECT *, e / sum(e) OVER (PARTITION BY query_id) AS w FROM e) SELECT query_id, item_id, round(sum(w) OVER (PARTITION BY query_id ORDER BY score DESC, item_id ROWS UNBOUNDED PRECEDING), 6) AS mass FROM m")
+def _(spark, d):
+    from folio.functions.vector import softmax
+    from folio.plans.catalog_vector import scored
+
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id").rowsBetween(Window.unboundedPreceding, 0)
+    return scored(spark, d).withColumn("w", softmax(F.col("score"), ["query_id"], 0.5)).select("query_id", "item_id", F.round(F.sum("w").over(w), 6).alias("mass"))
+
+
+@query("s03_written_and_read", "SELECT item_id, question, answer FROM eval_item")
+def _(spark, d):
+    """Questions written as CSV to the shared folder and read back with their schema."""
+    from folio.streaming.replay import shared_folder
+
+    path = shared_folder(spark, "questions")
+    files.write_csv(read(spark, d, "eval_item", "item_id", "question", "answer"), path)
+    return files.read_csv(spark, path, "item_id long, question string, answer string")
+
+
+@query("s05_json_round_trip", "SELECT item_id, lang, passage FROM eval_item")
+def _(spark, d):
+    from folio.streaming.replay import shared_folder
+
+    path = shared_folder(spark, "items")
+    files.append_log(read(spark, d, "eval_item", "item_id", "lang", "passage"), path)
+    return files.read_log(spark, path, "item_id long, lang string, passage string", "item_id", "passage")

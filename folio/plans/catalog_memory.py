@@ -255,3 +255,40 @@ def _(spark, d):
     r = R.ranked(scored(spark, d).withColumn("top", F.max("score").over(w)), ["query_id"]).where("rank <= 40")
     g = r.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in (0.75, 0.8, 0.85, 0.9, 0.95, 0.98)])))
     return g.where("rank = 1 or (top > 0 and score >= top * threshold)").groupBy("threshold").agg(F.count(F.lit(1)).alias("n_selected"))
+
+
+@query("c04_sequential_states")
+def _(spark, d):
+    """Early exit over the states of the rolling memory instead of the passages."""
+    states = M.curate(passages(spark, d), "threaded", _chat, _embed).select("key", "pos", F.col("state").alias("text"))
+    return M.read_until_answered(states, _has_number).select("key", "calls", "answer")
+
+
+@query("m11_elaborative_records")
+def _(spark, d):
+    """Audit records of the loop over passages with their hashed word vectors."""
+    from folio.operators.connect import embed_texts
+
+    p = passages(spark, d).withColumn("k", F.concat_ws("/", "key", "pos"))
+    r = M.replay(p.join(embed_texts(p, "k", "text"), "k").select("key", "pos", "vec", "text"), 0.35, 0.6)
+    return r.select("key", "pos", F.array_join(F.col("retrieved").cast("array<string>"), ",").alias("retrieved"), "pool_size", "memory_size", "fallback", "action")
+
+
+@query("t13_snapped_maintenance")
+def _(spark, d):
+    """Generated sentences (targets) snapped to the passage: exact ones stay, others become the nearest source sentence."""
+    from folio.functions.text import sentences
+    from folio.functions.vector import cosine
+    from folio.operators.connect import embed_texts
+
+    p = read(spark, d, "stage2_pair", "pair_id", "chunk_text", "target_text").groupBy("pair_id").agg(F.max("chunk_text").alias("c"), F.max("target_text").alias("t")).where("c is not null and t is not null")
+    src = p.select("pair_id", F.posexplode(sentences(F.col("c"))).alias("j", "source"))
+    gen = p.select("pair_id", F.posexplode(sentences(F.col("t"))).alias("i", "sentence"))
+    exact = gen.join(src.select("pair_id", F.col("source").alias("sentence")).distinct(), ["pair_id", "sentence"], "left_semi").withColumn("snapped", F.col("sentence"))
+    rest = gen.join(exact.select("pair_id", "i"), ["pair_id", "i"], "left_anti")
+    texts = rest.select(F.col("sentence").alias("t")).unionByName(src.select(F.col("source").alias("t"))).distinct().withColumn("k", F.col("t"))
+    v = embed_texts(texts, "k", "t")
+    j = rest.join(src, "pair_id").join(v.select(F.col("k").alias("sentence"), F.col("vec").alias("x")), "sentence").join(v.select(F.col("k").alias("source"), F.col("vec").alias("y")), "source")
+    s = j.withColumn("score", F.round(cosine(F.col("x"), F.col("y")), 10))
+    best = R.top_k(s, ["pair_id", "i"], 1, item="j").select("pair_id", "i", "sentence", F.col("source").alias("snapped"))
+    return exact.select("pair_id", "i", "sentence", "snapped").unionByName(best).withColumn("i", F.col("i").cast("long"))
