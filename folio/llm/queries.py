@@ -14,7 +14,7 @@ _WHERE = {
     "pairs": ["p5_found"],
     "residue": ["p9_found", "p9_messages"],
     "sentences": ["p3_found"],
-    "sharedspans": ["p4_found", "p4_report", "p4_passages"],
+    "sharedspans": ["p4_found", "p4_report", "p4_passages", "p4_copies"],
     "tokens": ["p2_documents", "p2_budget", "p2_against_log"],
     "splitting": ["p6_found", "p6_pieces"],
 }

@@ -9,8 +9,11 @@ also stand, exactly so, in another record.
   by score minus gap costs with a Fenwick tree of prefix maxima, chain after chain until no match is left, and each
   chain is aligned: its matches are extended as far as the texts agree. Exact runs of ``length`` and more give
   the shared characters; a chain with all its gaps is a fuzzy passage.
-* **Hot seeds.** A seed in more than ``SEED_CAP`` texts would make quadratic pairs. For those the windows of
-  ``length`` characters around the seed are hashed and counted instead, which is linear and loses nothing.
+* **Hot seeds.** A seed in more than ``SEED_CAP`` texts makes quadratic pairs. For the exact spans the windows of
+  ``length`` characters around the seed are hashed and counted instead, which is linear and loses nothing. The fuzzy
+  report names pairs of texts, so there every seed is joined, however hot.
+* **Fuzzy seeds.** The fuzzy chains have shorter seeds of their own: ``FUZZY_SEED`` characters, one at least in every
+  exact run of ``FUZZY_RUN``. A passage with an edit at least every ``FUZZY_SEED`` characters has none.
 
 Defined cases: null and empty texts and texts shorter than ``length`` share nothing; a passage that recurs only
 within one record (also across its fields) is not shared; repeated rows of one key are one record.
@@ -29,6 +32,7 @@ from folio.llm.textkeys import codes, grams, winnow
 from folio.runtime import cut, read, ship
 
 LENGTH, SEED, SEED_CAP = 160, 80, 24
+FUZZY_RUN, FUZZY_SEED = 64, 40
 
 
 class Fenwick:
@@ -182,29 +186,38 @@ def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["tid", "span_start", "span_end"]).astype({"span_start": np.int64, "span_end": np.int64})
 
 
-def _parts(fields: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(owners, texts, seeds that recur, aligned pairs). fields: field_name, record_id, record, text."""
-    spark = fields.sparkSession
-    ship(spark)
+def _owners(fields: DataFrame, length: int) -> DataFrame:
+    """field_name, record_id, record, text, tid of every text that is long enough; equal texts have one tid."""
     one = fields.where("text is not null and text <> ''").groupBy("field_name", "record_id", "record").agg(F.max("text").alias("text")).where(F.length("text") >= length)
-    owners = cut(one.withColumn("tid", F.unhex(F.md5("text"))))
+    return one.withColumn("tid", F.unhex(F.md5("text")))
+
+
+def _parts(fields: DataFrame, length: int, run: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(owners, texts, seeds that recur: one at least in every shared run of ``run`` characters). fields: field_name,
+    record_id, record, text."""
+    ship(fields.sparkSession)
+    owners = cut(_owners(fields, length))
     texts = cut(owners.groupBy("tid").agg(F.first("text").alias("text"), F.min("record").alias("r_min"), F.max("record").alias("r_max")))
     owners = owners.select("tid", "field_name", "record_id")
-    seeds = texts.select("tid", "text").mapInPandas(_seeds(k, length - k + 1, length), "tid binary, h long, pos int")
+    seeds = texts.select("tid", "text").mapInPandas(_seeds(k, run - k + 1, length), "tid binary, h long, pos int")
     seeds = cut(seeds.join(texts.select("tid", "r_min", "r_max"), "tid"))
     counts = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("r_min").alias("lo"), F.max("r_max").alias("hi")).where("n > 1 and lo <> hi").select("h", "n")
-    common = cut(seeds.join(counts, "h"))
-    side = lambda a, p: common.where(F.col("n") <= SEED_CAP).select("h", F.col("tid").alias(a), F.col("pos").alias(p), F.col("r_min").alias(f"{a}_lo"), F.col("r_max").alias(f"{a}_hi"))
+    return owners, texts, cut(seeds.join(counts, "h"))
+
+
+def _paired(texts: DataFrame, common: DataFrame, length: int, k: int) -> DataFrame:
+    """Aligned chains of every two texts that have one of the given seeds in common."""
+    side = lambda a, p: common.select("h", F.col("tid").alias(a), F.col("pos").alias(p), F.col("r_min").alias(f"{a}_lo"), F.col("r_max").alias(f"{a}_hi"))
     pairs = side("a", "p").join(side("b", "q"), "h").where("a < b and not (a_lo = a_hi and b_lo = b_hi and a_lo = b_lo)")
     pairs = pairs.groupBy("a", "b").agg(F.collect_list(F.struct("p", "q")).alias("matches"))
     text = lambda a: texts.select(F.col("tid").alias(a), F.col("text").alias(f"{a}_text"))
-    found = pairs.join(text("a"), "a").join(text("b"), "b").mapInPandas(_aligned(k, length), PAIRED)
-    return owners, texts, common, found
+    return pairs.join(text("a"), "a").join(text("b"), "b").mapInPandas(_aligned(k, length), PAIRED)
 
 
 def shared_spans(fields: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFrame:
     """Maximal runs of shared characters: field_name, record_id, span_start, span_end."""
-    owners, texts, common, found = _parts(fields, length, k)
+    owners, texts, common = _parts(fields, length, length, k)
+    found = _paired(texts, common.where(F.col("n") <= SEED_CAP), length, k)
     hot = common.where(F.col("n") > SEED_CAP).groupBy("tid").agg(F.collect_set("pos").alias("at"))
     wins = hot.join(texts, "tid").select("tid", "text", "at").mapInPandas(_windows(k, length), "tid binary, s long, g long")
     wins = wins.join(texts.select("tid", "r_min", "r_max"), "tid")
@@ -216,16 +229,25 @@ def shared_spans(fields: DataFrame, length: int = LENGTH, k: int = SEED) -> Data
     return owners.join(runs, "tid").select("field_name", "record_id", "span_start", "span_end")
 
 
-def fuzzy_passages(fields: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFrame:
-    """Chains between texts, gaps included, of at least ``length`` characters: one row per text and partner text,
-    each named by its least owner."""
-    owners, _, _, found = _parts(fields, length, k)
+def fuzzy_passages(fields: DataFrame, length: int = LENGTH, run: int = FUZZY_RUN, k: int = FUZZY_SEED) -> DataFrame:
+    """Chains between texts, gaps included, of at least ``length`` characters: one row per chain, text and partner text,
+    each named by its least owner; ``copies`` has the others."""
+    owners, texts, common = _parts(fields, length, run, k)
+    found = _paired(texts, common, length, k)
     name = owners.groupBy("tid").agg(F.min(F.struct("field_name", "record_id")).alias("o"))
     other = name.select(F.col("tid").alias("other"), F.col("o").alias("p"))
     out = found.where((F.col("kind") == "chain") & (F.col("span_end") - F.col("span_start") >= length)).join(name, "tid").join(other, "other")
     return out.select(F.col("o.field_name").alias("field_name"), F.col("o.record_id").alias("record_id"), "span_start", "span_end", F.col("p.field_name").alias("other_field"), F.col("p.record_id").alias("other_id"))
 
 
+def copies(fields: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Owners of a text that isn't named by them, with the least owner of the equal text, which is."""
+    owners = _owners(fields, length).select("tid", "field_name", "record_id")
+    name = owners.groupBy("tid").agg(F.min(F.struct("field_name", "record_id")).alias("o"))
+    out = owners.join(name, "tid").select("field_name", "record_id", F.col("o.field_name").alias("least_field"), F.col("o.record_id").alias("least_id"))
+    return out.where("field_name <> least_field or record_id <> least_id")
+
+
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = read(spark, sf_dir, "teacher_gists_anticollapse_wiki20_pilot", "gist_id", "text", "original_text")
     h = read(spark, sf_dir, "hit", "hit_id", "text")
@@ -249,3 +271,8 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy passages: chained matches with their gaps."""
     return fuzzy_passages(_fields(spark, sf_dir))
+
+
+def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts equal as a whole: each owner that p4_passages doesn't name, with the one it names instead."""
+    return copies(_fields(spark, sf_dir))

@@ -142,6 +142,21 @@ def test_no_spans(spark):
     assert sharedspans.shared_spans(df).count() == 0 and sharedspans.fuzzy_passages(df).count() == 0
 
 
+def test_fuzzy_passages_of_hot_seeds_and_close_edits(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(240)
+    hot = [("x", i, f"r{i}", text(30) + passage[:120] + text(3) + passage[120:] + text(20)) for i in range(sharedspans.SEED_CAP + 4)]
+    plain = text(240)
+    edited = "".join("#" if i % 70 == 69 else c for i, c in enumerate(plain))
+    recs = [*hot, ("y", 0, "s0", plain), ("y", 1, "s1", edited), ("z", 0, "q0", edited)]
+    df = spark.createDataFrame(recs, "field_name string, record_id long, record string, text string")
+    got = [(r.field_name, r.record_id, r.other_field, r.other_id) for r in sharedspans.fuzzy_passages(df).collect()]
+    n = len(hot)
+    assert set(got) == {("x", i, "x", j) for i in range(n) for j in range(n) if i != j} | {("y", 0, "y", 1), ("y", 1, "y", 0)}
+    assert [tuple(r) for r in sharedspans.copies(df).collect()] == [("z", 0, "y", 1)]
+
+
 def leak_docs():
     passage = "Ärger mit dem Café: Der alte Müller zählte 1,234 Schritte, dann noch 16, und blieb am Brunnen stehen. Danach ging er heim."
     ja = "「果樹園はルコフ市にない。急ごう」とルヴェ・モブブは言った。古い地図は港の倉庫で見つかったという。"
