@@ -1,9 +1,10 @@
 """Left-over template, filler and server or browser messages instead of content (problem 9).
 
-Texts are cut into segments (lines and sentences). Segments that hold a trigger word or a slot are masked - numbers,
+Texts are cut into segments (lines and sentences). Segments that hold a slot, filler or a phrase are masked - numbers,
 addresses, ids and dates - and their exact normalised hashes are grouped over all documents and sources. Rules then
 classify each hash: a *firm* phrase standing at the start of a segment, a slot or filler counts by itself; a *soft*
-phrase counts only where the masked message recurs in at least ``MIN_DOCS`` documents and ``MIN_SOURCES`` sources.
+phrase counts only in a block that holds one of ``TRIGGERS``, the strict list, and where the masked message recurs in at
+least ``MIN_DOCS`` documents and ``MIN_SOURCES`` sources.
 
 A slot that is merely shown, that is, quoted by itself or after one word of greeting, is discussed and no residue;
 neither is a phrase in the middle of a sentence.
@@ -59,9 +60,9 @@ FIRM = re.compile(
     r"|โปรดเปิดใช้|ข้อผิดพลาด\s*(?:4|5)\d\d|ระบบปิดปรับปรุง|นี่คือข้อความ(?:ตัวอย่าง|จำลอง)|ข้อความตัวอย่าง|ไม่พบหน้า|ปฏิเสธการเข้าถึง"
     r")"
 )
-#: Soft phrases, anywhere in a segment; they need recurrence.
+#: Soft phrases, anywhere in a segment; they need recurrence and a block with one of TRIGGERS.
 SOFT = re.compile(r"(?i)javascript|\bscripts?\b|\bcookies?\b|\bbrowser|unavailable|maintenance|try again|reload|log in to|sign in|\baccess\b|\berror\b|not found|placeholder|sample text|エラー|サーバー|服务|占位|脚本|त्रुटि|सेवा|ระบบ|ข้อผิดพลาด|ข้อความ")
-#: Words one of which a text must hold before it is cut into segments.
+#: The strict list: words one of which a block must hold for its soft phrases to count. No other rule asks for them.
 TRIGGERS = (
     "javascript", "script", "cookie", "browser", "404", "403", "500", "502", "503", "429", "not found", "could not find", "removed or", "service is", "unavailable", "refused", "denied",
     "session", "reading limit", "not offered", "not available", "something", "oops", "nowhere", "bad request", "fatal", "traceback", "exception", "\"error\"", "trouble loading", "gateway",
@@ -130,27 +131,23 @@ def judge(text: str) -> list[tuple[str, str]]:
     """(reason, segment) for what in a text may be residue; reasons 'slot', 'filler' and 'firm' are certain, 'soft' isn't."""
     out = [("slot", s) for s in slots(text)[:1]]
     out += [("filler", block[:80]) for block in text.replace("\n \n", "\n\n").split("\n\n") if repeated(block)][:1]
-    low = text.lower()
-    if not any(k in low for k in TRIGGERS):
-        return out
     for block in re.split(r"\n\s*\n", text):
         if filler(block):
             out.append(("filler", block[:80]))
             continue
         small = block.lower()
-        if not any(k in small for k in TRIGGERS):
-            continue
+        strict = any(k in small for k in TRIGGERS)
         for segment in ENDS.split(block):
             s = " ".join(segment.split())
             if not s:
                 continue
             if FIRM.match(s):
                 out.append(("firm", s))
-            elif SOFT.search(s) and len(s) <= 200:
+            elif strict and SOFT.search(s):
                 out.append(("soft", s))
     # a message over several lines
     joined = " ".join(text.split())
-    if not any(r in ("firm", "filler") for r, _ in out) and len(joined) < 4000:
+    if not any(r in ("firm", "filler") for r, _ in out):
         for segment in re.split(r"(?<=[.!?…।])\s+|(?<=[。！？])", joined):
             if FIRM.match(segment.strip()):
                 out.append(("firm", segment.strip()))

@@ -191,6 +191,24 @@ def test_residue(text, want):
     assert any(r != "soft" for r, _ in residue.judge(text)) == want
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Internal Server Error", "We are experiencing high traffic. Please try again in a few minutes.", "HTTP 410: this page is gone", "408 error", "You have reached your free article limit",
+        "Sorry, we couldn't find that page", "The document /a/b has been deleted", "Insert your text here", "ไม่พบหน้า", "Dolor amet quam arcu morbi porta tellus viverra.",
+        "He walked on. " * 400 + "\nand so it went. Internal\nserver error",
+    ],
+)
+def test_residue_without_words_of_the_strict_list(text):
+    assert any(r in ("firm", "filler") for r, _ in residue.judge(text))
+
+
+def test_long_soft_messages_count(spark):
+    rows = [(i, f"s{i % 3}", "Browser session: " + "the archive of the town hall " * 10 + f"is closed, try again after {i} minutes") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r.doc_id for r in residue.residue(df).collect()} == set(range(6))
+
+
 def test_soft_messages_need_recurrence(spark):
     rows = [(i, f"s{i % 3}", f"Please wait; try again after {i} minutes") for i in range(6)] + [(20, "s1", "Please try again, said the clerk of Bell town"), (21, None, None), (22, None, " ")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("h", F.lit(0))
