@@ -88,6 +88,28 @@ def pack(df: DataFrame, key: str, low: int, high: int) -> DataFrame:
     return ordered_fold(df, [key], ["pos"], lambda: _Pack(low, high), "pos long, bin long, filled long")
 
 
+class _Band:
+    """Greedy walk to a word band: takes what keeps the sum within ``high``, stops once it is at ``low``."""
+
+    def __init__(self, low: int, high: int):
+        self.low, self.high, self.n, self.ids = low, high, 0, []
+
+    def row(self, r) -> list[tuple]:
+        n = int(r.n_words)
+        if self.n < self.low and self.n + n <= self.high:
+            self.n += n
+            self.ids.append(int(r.pos))
+        return []
+
+    def finish(self) -> list[tuple]:
+        return [(self.ids, self.n)]
+
+
+def band(df: DataFrame, key: str, order: list[str], low: int, high: int) -> DataFrame:
+    """One selection for the whole of each key, walked in the given order. df: key, pos, n_words. Gives key, ids, n_words."""
+    return ordered_fold(df, [key], order, lambda: _Band(low, high), "ids array<long>, n_words long")
+
+
 class _Deal:
     """Deals rows to n bins in turn; a bin that can't take a row passes it on."""
 

@@ -20,10 +20,9 @@ def sized(spark, d):
 
 @query("r20_greedy_band")
 def _(spark, d):
-    s = sized(spark, d).where("key is not null").withColumn("part", F.floor(F.col("pos") / 1000))
-    lists = s.groupBy("key", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n_words")).alias("o"), F.col("pos").alias("id"), F.col("n_words").alias("n")))), lambda x: F.struct(x["id"].alias("id"), x["n"].alias("n"))).alias("v"))
-    b = lists.select("key", "part", R.greedy_band(F.col("v"), 500, 900).alias("b"))
-    return b.select("key", "part", F.array_join(F.col("b.ids").cast("array<string>"), ",").alias("ids"), F.col("b.n").alias("n_words"))
+    """One selection of 500 to 900 words for each whole work, its longest documents first."""
+    s = sized(spark, d).where("key is not null").withColumn("o", -F.col("n_words"))
+    return C.band(s, "key", ["o", "pos"], 500, 900).select("key", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "n_words")
 
 
 @query("r21_deal")
