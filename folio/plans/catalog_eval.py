@@ -114,12 +114,12 @@ def _(spark, d):
 
 @query("a16_retention_by_age")
 def _(spark, d):
-    """Answers of a document's items, probed in every later state of its pairs."""
+    """Answers of a document's items, probed in every later state of its pairs, however old."""
     p = read(spark, d, "stage2_pair", "pair_id", "doc_key", "chunk_position", "chunk_text", "target_text").groupBy("pair_id").agg(*[F.max(c).alias(c) for c in ("doc_key", "chunk_position", "chunk_text", "target_text")]).where("doc_key is not null")
     probes = p.where("chunk_text is not null").select(F.col("doc_key").alias("key"), F.col("chunk_position").alias("source"), F.regexp_extract("chunk_text", r"(\S+ \S+)", 1).alias("answer"))
     states = p.where("target_text is not null").select(F.col("doc_key").alias("key"), F.col("chunk_position").alias("pos"), F.col("target_text").alias("text"))
     near = states.groupBy("key", "pos").agg(F.max("text").alias("text"))
-    return rounded(E.retention_by_age(probes.groupBy("key", "source").agg(F.max("answer").alias("answer")), near, max_age=12))
+    return rounded(E.retention_by_age(probes.groupBy("key", "source").agg(F.max("answer").alias("answer")), near))
 
 
 _CONF = "c AS (SELECT result_id, CASE WHEN max(CAST(correct AS INT)) = 1 THEN 1 ELSE 0 END AS y, CASE WHEN max(CAST(lookup_used AS INT)) = 1 THEN 1 ELSE 0 END AS p FROM qa_stage2_adaptive_threshold_sweep_ratio0chk GROUP BY result_id), k AS (SELECT CAST(sum(y*p) AS BIGINT) AS tp, CAST(sum((1-y)*p) AS BIGINT) AS fp, CAST(sum(y*(1-p)) AS BIGINT) AS fn, CAST(sum((1-y)*(1-p)) AS BIGINT) AS tn, CAST(count(*) AS BIGINT) AS n FROM c)"

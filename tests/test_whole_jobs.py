@@ -10,3 +10,10 @@ def test_r20_one_band_a_work(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, doc_slug string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.key, r.ids, r.n_words) for r in QUERIES["r20_greedy_band"](spark, str(tmp_path)).collect()}
     assert got == {("w", "1,500,1500", 600), ("v", "9000", 3)}
+
+
+def test_a16_every_age(spark, tmp_path):
+    rows = [(i, "d", i, f"fact {i} stands", f"fact {i} stands and fact 0 stands") for i in range(21)]
+    spark.createDataFrame(rows, "pair_id long, doc_key string, chunk_position long, chunk_text string, target_text string").write.parquet(f"{tmp_path}/stage2_pair.parquet")
+    got = {r.age: r.n_probes for r in QUERIES["a16_retention_by_age"](spark, str(tmp_path)).collect()}
+    assert got == {age: 21 - age for age in range(21)}
