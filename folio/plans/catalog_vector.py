@@ -298,14 +298,14 @@ def _(spark, d):
 
 @query("r11_mmr")
 def _(spark, d):
-    """Four sentences a chunk by relevance and diversity; chunks are windows of bounded size."""
-    from folio.functions.text import sentences, word_count, words
-
-    c = read(spark, d, "chunk", "doc_id", "chunk_idx", "text").groupBy("doc_id", "chunk_idx").agg(F.max("text").alias("text"))
-    s = c.select("doc_id", "chunk_idx", F.posexplode(sentences(F.col("text"))).alias("idx", "s"))
-    s = s.withColumn("score", R.minmax(word_count(F.col("s")).cast("double"), ["doc_id", "chunk_idx"]))
-    items = s.groupBy("doc_id", "chunk_idx", F.floor(F.col("idx") / 100).alias("part")).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("long").alias("idx"), "score", F.array_distinct(words(F.lower("s"))).alias("words")))).alias("items"))
-    return items.select("doc_id", "chunk_idx", "part", F.array_join(R.mmr(F.col("items"), F.lit(4)).cast("array<string>"), ",").alias("chosen"))
+    """Half of each chunk's sentences by relevance and diversity, in order of choice, out of all its sentences."""
+    from folio.functions.text import let, sentences, word_count, words
+    from folio.runtime import spread
+
+    c = spread(read(spark, d, "chunk", "doc_id", "chunk_idx", "text").where("text is not null")).groupBy("doc_id", "chunk_idx").agg(F.max("text").alias("text"))
+    v = let(sentences(F.col("text")), lambda s: F.struct(F.transform(s, lambda x: word_count(x).cast("double")).alias("scores"), F.transform(s, lambda x: F.array_distinct(words(F.lower(x)))).alias("words")))
+    items = c.select("doc_id", "chunk_idx", v.alias("v")).select("doc_id", "chunk_idx", "v.scores", "v.words")
+    return R.mmr_share(items, ["doc_id", "chunk_idx"], 0.5).select("doc_id", "chunk_idx", F.array_join(F.col("chosen").cast("array<string>"), ",").alias("chosen"))
 
 
 @query("t12_maintenance_extract")
