@@ -10,7 +10,7 @@ from folio.operators import corpus as C
 from folio.operators import select as R
 from folio.plans.catalog_text import SENTENCES, WORDS, docs
 from folio.plans.registry import query
-from folio.runtime import read
+from folio.runtime import cut, read
 
 
 def sized(spark, d):
@@ -239,13 +239,16 @@ def _(spark, d):
 
 @query("c26_seam_outcomes")
 def _(spark, d):
-    """Outcome of the sweep's questions joined to seam exposure by number: mean severity of right and wrong ones."""
+    """Outcome of the sweep's questions joined to seam exposure: mean severity of right and wrong ones. The tables own no
+    common key, so the results are dealt in order to all queries that have seams."""
     from folio.plans.catalog_eval import qa
     from folio.plans.catalog_vector import severities
 
-    s = severities(spark, d).groupBy("query_id").agg(F.avg("severity").alias("severity"))
-    q = qa(spark, d).where("correct is not null").withColumn("query_id", F.col("result_id") % 500 - F.col("result_id") % 100)
-    return q.join(s, "query_id").groupBy("correct").agg(F.round(F.avg("severity"), 6).alias("mean_severity"), F.count(F.lit(1)).alias("n"))
+    s = cut(severities(spark, d).groupBy("query_id").agg(F.avg("severity").alias("severity")))
+    s = C.with_row_number(s, ["query_id"], "place").select("place", "severity")
+    q = C.with_row_number(qa(spark, d).where("correct is not null").select("result_id", "correct"), ["result_id"], "place")
+    q = q.crossJoin(F.broadcast(s.agg(F.count(F.lit(1)).alias("n_queries")))).withColumn("place", F.col("place") % F.col("n_queries"))
+    return q.join(s, "place").groupBy("correct").agg(F.round(F.avg("severity"), 6).alias("mean_severity"), F.count(F.lit(1)).alias("n"))
 
 
 @query("c28_collapse_ablation", "SELECT lower(trim(c)) AS variant, CAST(count(*) AS BIGINT) AS n, round(avg(length(t)), 6) AS mean_chars FROM (SELECT pair_id, max(conditioning) AS c, max(target_text) AS t FROM stage2_pair GROUP BY pair_id) WHERE t IS NOT NULL AND c IS NOT NULL GROUP BY lower(trim(c))")

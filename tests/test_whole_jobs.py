@@ -39,3 +39,14 @@ def test_r11_share_of_all_sentences(spark, tmp_path):
     items = s.groupBy("chunk_idx").agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("long").alias("idx"), "score", F.array_distinct(T.words(F.lower("s"))).alias("words")))).alias("v"))
     want = items.where("chunk_idx < 3").select("chunk_idx", R.mmr(F.col("v"), F.ceil(F.size("v") * 0.5).cast("int")).alias("m"))
     assert {r.chunk_idx: r.m for r in want.collect()} == {i: got[i] for i in range(3)}
+
+
+def test_c26_every_query_has_outcomes(spark, monkeypatch):
+    from folio.plans import catalog_eval, catalog_vector
+
+    s = [(v, float(i)) for i, v in enumerate((0, 100, 200, 300, 400, 500, 1000))]
+    q = [(i, i % 7 == 6) for i in range(700)] + [(701, None)]
+    monkeypatch.setattr(catalog_vector, "severities", lambda *_: spark.createDataFrame(s, "query_id long, severity double"))
+    monkeypatch.setattr(catalog_eval, "qa", lambda *_: spark.createDataFrame(q, "result_id long, correct boolean"))
+    got = {tuple(r) for r in QUERIES["c26_seam_outcomes"](spark, "").collect()}
+    assert got == {(True, 6.0, 100), (False, 2.5, 600)}
