@@ -55,7 +55,11 @@ def _(spark, d):
 
 @query("m05_capacity_merge")
 def _(spark, d):
-    f = M.final_slots(rows(spark, d), 0.3, capacity=8, policy="merge")
+    """Passages in a memory of two slots; what is merged gets the vector of its joint text."""
+    from folio.operators.connect import embed_texts
+
+    p = passages(spark, d).withColumn("k", F.concat_ws("/", "key", "pos"))
+    f = M.final_slots(p.join(embed_texts(p, "k", "text"), "k").select("key", "pos", "vec", "text"), 0.8, capacity=2, policy="merge", embed=_embed)
     return f.withColumn("origins", F.array_join(F.col("origins").cast("array<string>"), ","))
 
 
@@ -163,10 +167,11 @@ class Sweep(M.Replay):
     """Replay with the threshold that the key's rows carry."""
 
     def __init__(self):
-        super().__init__(0.0, 0.0, 3, None, "grow", 0.0)
+        super().__init__(M.Rules(full="grow"))
 
     def row(self, r):
-        self.r = self.w = float(r.tau)
+        if self.rules.read != r.tau:
+            self.rules = M.Rules(float(r.tau), float(r.tau), full="grow")
         return super().row(r)
 
 

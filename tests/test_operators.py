@@ -129,6 +129,7 @@ def test_semantic_pagination(spark):
     assert S.paginate(df, "doc_id", 60, 120, have_vectors=False).count() == 2
 
 
+#: The drift over topics and the sweep's expected shares and sizes.
 TOPICS = [3, 0, 2, 1, 0, 3, 3, 2, 1, 3, 0, 1, 2, 2, 3, 1, 2, 0, 1, 3, 2, 1, 0, 2]
 
 
@@ -156,26 +157,55 @@ def test_anchor_stays(spark):
 
 def test_memory_policies():
     with pytest.raises(ValueError):
-        M.Memory(0)
+        M.Rules(room=0)
     with pytest.raises(ValueError):
-        M.Memory(2, "drop")
-    for policy in ("merge", "evict"):
-        m = M.Memory(2, policy)
+        M.Rules(room=2, full="drop")
+    for full in ("merge", "evict"):
+        rules, slots = M.Rules(0.5, 0.5, room=2, full=full, embed=lambda t: [1.0] * 6), M.Slots()
         for i in range(6):
             v = np.zeros(6)
             v[i] = 1
-            best, _, _ = m.retrieve(v, i, 3, 0.5)
-            m.write(f"t{i}.", v, i, best, 0.5)
-        assert len(m.slots) <= 2
-    assert m.forget(5) == 1 and all(5 not in s.origins for s in m.slots)
+            M.put(slots, f"t{i}.", v, i, M.look(slots, v, i, rules), rules)
+        assert len(slots) <= 2
+    assert slots.keep(~slots.holding(5)) == 1 and all(5 not in o for o in slots.origins)
+
+
+def two_slots():
+    slots = M.Slots()
+    slots.add("a.", np.array([1.0, 0.0]), [0, 2], (0, 3, 1, 0))
+    slots.add("b.", np.array([0.9, 0.1]), [1], (1, 1, 0, 0))
+    return slots
 
 
 def test_merge_provenance():
-    m = M.Memory(2, "merge")
-    m.adopt([M.Slot("a.", np.array([1.0, 0.0]), [0, 2], 0, 3), M.Slot("b.", np.array([0.9, 0.1]), [1], 1, 1)])
-    m.make_room()
-    s = m.slots[0]
-    assert s.origins == [0, 1, 2] and s.created == 0 and s.touched == 3 and s.merges == 1 and s.text == "a. b."
+    slots = two_slots()
+    M.fit(slots, M.Rules(room=2, embed=lambda t: [1.0, 1.0]))
+    assert slots.rows() == [(0, 0, 2, [0, 1, 2], 0, 3, 1, 1)] and slots.texts == ["a. b."]
+
+
+@pytest.mark.parametrize("embed", [None, lambda t: None])
+def test_no_vector_for_the_joint_text_evicts(embed):
+    slots = two_slots()
+    M.fit(slots, M.Rules(room=2, embed=embed))
+    assert slots.texts == ["a."] and slots.rows()[0][7] == 0
+
+
+def test_eviction_order():
+    slots = M.Slots()
+    for i, (used, revised) in enumerate([(3, 0), (1, 2), (1, 1), (1, 1)]):
+        slots.add(str(i), np.eye(4)[i], [i], (i, used, revised, 0))
+    M.drop_least_useful(slots)
+    assert slots.texts == ["0", "1", "3"]
+
+
+def test_look_falls_back_and_fades():
+    slots = two_slots()
+    q = np.array([0.0, 1.0])
+    sight = M.look(slots, q, 9, M.Rules(read=0.5))
+    assert sight.fell_back and sight.taken.tolist() == [1] and slots.counts.rows[1, M.USED] == 9
+    assert not len(M.look(slots, q, 9, M.Rules(read=0.5), fallback=False).taken)
+    s = M.look(two_slots(), np.array([1.0, 0.0]), 5, M.Rules(fade=0.1)).scores
+    assert np.allclose(s, [math.exp(-0.2), 0.9 * math.exp(-0.4)])
 
 
 def test_paired_and_confusion(spark):
