@@ -129,10 +129,10 @@ def _cut(model: Model, limit: int, overlap: int):
     return run
 
 
-def split_oversized(spark: SparkSession, chunks: DataFrame, paragraphs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Pieces of every chunk of more than ``limit`` characters."""
+def split_oversized(spark: SparkSession, chunks: DataFrame, paragraphs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, units: DataFrame | None = None) -> DataFrame:
+    """Pieces of every chunk of more than ``limit`` characters. units: what the sentence model is fitted on."""
     ship(spark)
-    model = train(paragraphs)
+    model = train(units)
     return chunk_paragraphs(chunks, paragraphs, limit).select("doc_id", "chunk_idx", "text", "paras").mapInPandas(_cut(model, limit, overlap), PIECES)
 
 
