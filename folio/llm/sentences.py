@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.operators.rangejoin import point_in_interval
 from folio.runtime import read, ship
 
 TRAIN_ROWS = 12000
@@ -487,10 +488,9 @@ def chunk_paragraphs(chunks: DataFrame, paragraphs: DataFrame, longer_than: int
     one = one.where(F.length("text") > longer_than)
     p = paragraph_records(paragraphs).select("doc_id", "para_idx", F.col("text").alias("p_text"), "is_scene_break", "char_offset")
     entry = F.struct("para_idx", F.col("p_text").alias("text"), "is_scene_break", "char_offset")
-    inside = F.when(F.col("ids").isNotNull(), F.array_contains("ids", F.col("para_idx"))).otherwise((F.col("char_offset") >= F.col("char_start")) & (F.col("char_offset") < F.col("char_end")))
     keys = one.select("doc_id", "chunk_idx", "ids", "char_start", "char_end")
     listed = keys.where("ids is not null").select("doc_id", "chunk_idx", F.explode("ids").alias("para_idx")).join(p, ["doc_id", "para_idx"])
-    ranged = keys.where("ids is null").join(p, "doc_id").where(inside)
+    ranged = point_in_interval(p, keys.where("ids is null").drop("ids"), ["doc_id"], "char_offset", "char_start", "char_end")
     both = listed.select("doc_id", "chunk_idx", entry.alias("e")).unionByName(ranged.select("doc_id", "chunk_idx", entry.alias("e")))
     lists = both.groupBy("doc_id", "chunk_idx").agg(F.array_sort(F.collect_set("e")).alias("paras"))
     return one.select("doc_id", "chunk_idx", "text", "char_start").join(lists, ["doc_id", "chunk_idx"], "left")

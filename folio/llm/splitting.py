@@ -3,7 +3,7 @@
 The atoms of a chunk are its sentences; a sentence that doesn't fit alone is cut at spaces, and where it has
 none, at the limit. Adjacent atoms are held in a heap by the strength of the boundary between them (0 inside a
 sentence, 1 sentence, 2 paragraph, 3 scene break) and their joint size; the weakest boundary merges first, as long
-as the joint size plus the overlap fits. What remains are the pieces: each starts ``overlap`` characters before its
+as the joint size plus the overlap fits. A chunk's kind is that of the strongest boundary which the merging met. What remains are the pieces: each starts ``overlap`` characters before its
 own text (the first at 0), none is longer than ``limit``, and together they cover the whole text.
 
 Defined cases: chunks of at most ``limit`` characters and null texts make no piece; paragraphs that can't be found
@@ -59,14 +59,17 @@ def atoms(text: str, starts: list[tuple[int, int]], model: Model, limit: int, ov
     return sorted(marks.items())
 
 
-def merge(segments: list[tuple[int, int]], total: int, limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(start, end, strength of the boundary before) of the merged pieces, without their overlap."""
+def merge(segments: list[tuple[int, int]], total: int, limit: int, overlap: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(start, end, strength of the boundary before) of the merged pieces, without their overlap; and the strength of the
+    strongest boundary that was to be had: of the cuts that are left, or of a boundary that was merged away where all
+    that is left is weaker (a heading just before the end of a long paragraph, say)."""
     n = len(segments)
     start = [s for s, _ in segments]
     end = [*start[1:], total]
     force = [f for _, f in segments]
     prev, nxt, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
     version = [0] * n
+    strongest = 0
     heap: list[tuple[int, int, int, int, int]] = []
 
     def push(i: int) -> None:
@@ -84,17 +87,19 @@ def merge(segments: list[tuple[int, int]], total: int, limit: int, overlap: int)
         if not alive[i] or j < 0 or version[i] + version[j] != v or end[j] - start[i] != size:
             continue
         end[i], nxt[i], alive[j] = end[j], nxt[j], False
+        strongest = max(strongest, force[j])
         if nxt[i] >= 0:
             prev[nxt[i]] = i
         version[i] += 1
         push(i)
         if prev[i] >= 0:
             push(prev[i])
-    return [(start[i], end[i], force[i]) for i in range(n) if alive[i]]
+    left = [(start[i], end[i], force[i]) for i in range(n) if alive[i]]
+    return left, max([strongest, *(f for _, _, f in left[1:])])
 
 
 def pieces(text: str, paras: list[dict], model: Model, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, list[tuple[int, int, str]]]:
-    """The kind of boundary the text offers, and its pieces (start with overlap, end, kind of the cut before)."""
+    """The kind of the strongest boundary that the merging met, and the pieces (start with overlap, end, kind of the cut before)."""
     breaks = [bool(p["is_scene_break"]) if p["is_scene_break"] is not None else is_break(p["text"]) for p in paras]
     at, starts = 0, []
     for k, (p, b) in enumerate(zip(paras, breaks)):
@@ -103,14 +108,8 @@ def pieces(text: str, paras: list[dict], model: Model, limit: int = LIMIT, overl
             starts.append((i, 3 if b or (k and breaks[k - 1]) else 2, b))
             at = i + len(p["text"])
     segs = atoms(text, starts, model, limit, overlap)
-    done = merge(segs, len(text), limit, overlap)
-    if any(breaks):
-        kind = "scene"
-    elif len(paras) > 1:
-        kind = "paragraph"
-    else:
-        kind = "sentence" if len(split(text, False, model)) > 1 else "none"
-    return kind, [(max(0, a - overlap), b, KINDS[f]) for a, b, f in done]
+    done, strongest = merge(segs, len(text), limit, overlap)
+    return KINDS[strongest], [(max(0, a - overlap), b, KINDS[f]) for a, b, f in done]
 
 
 PIECES = "doc_id long, chunk_idx long, boundary string, piece_idx long, piece_start long, piece_end long, cut string"
@@ -136,18 +135,20 @@ def split_oversized(spark: SparkSession, chunks: DataFrame, paragraphs: DataFram
     return chunk_paragraphs(chunks, paragraphs, limit).select("doc_id", "chunk_idx", "text", "paras").mapInPandas(_cut(model, limit, overlap), PIECES)
 
 
-def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return (
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(
+        spark,
         read(spark, sf_dir, "chunk", "doc_id", "chunk_idx", "text", "paragraph_indices", "char_start", "char_end"),
         read(spark, sf_dir, "paragraph", "doc_id", "para_idx", "text", "is_scene_break", "char_offset"),
+        units=read(spark, sf_dir, "semantic_unit", "doc_id", "unit_idx", "items", "is_scene_break"),
     )
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every oversized chunk with the best kind of boundary it offers."""
-    return split_oversized(spark, *_inputs(spark, sf_dir)).where("piece_idx = 0").select("doc_id", "chunk_idx", "boundary")
+    return _split(spark, sf_dir).where("piece_idx = 0").select("doc_id", "chunk_idx", "boundary")
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of the oversized chunks with their offsets and the kind of each cut."""
-    return split_oversized(spark, *_inputs(spark, sf_dir))
+    return _split(spark, sf_dir)
