@@ -1,12 +1,19 @@
 """Defective input/target pairs with their type of defect (problem 5).
 
-* **Shortened versions.** Distinct targets are range-sorted; a target that is a proper prefix of its successor is a
-  shortened version of it. Within a partition neighbours are compared as rows stream by; the last row of a
-  partition is compared with the first of the next one that has rows.
+* **Shortened versions.** A text that breaks off is the beginning of something longer. What is compared is the last
+  sentence of each target with the whole sentences of all targets and passages, by their *forms*: figures are masked, and
+  so is every word that stands in less than ``FORM_SHARES`` of the texts, so that sentences about other things can be
+  neighbours. All forms are range-sorted, and each last sentence - whole, without what trails behind it, and without its
+  last one to three tokens - is compared with the whole sentence that follows it in the order:
+
+  - ``whole``: the form is that of a whole sentence elsewhere; the target is complete, however it looks;
+  - ``shortened``: the form (or the form but for a last, half-written token) goes on in a neighbour; the target is cut;
+  - ``astray``: neighbours share all but the last tokens, where the target leaves them; it is cut if it lacks a proper end;
+  - unknown: no neighbour says anything.
 * **Length limits.** Lengths at which far more targets end than at the lengths around are limits.
-* **Rules.** One defect a pair, the first that holds: 'empty', 'refusal', 'copy', 'language', 'truncated'. A target
-  is truncated if it has no end mark, ends in an abbreviation or a connecting word, leaves a quotation or bracket
-  open, or if it is a shortened version (or ends at a limit) without a complete last sentence.
+* **Rules.** One defect a pair, the first that holds: 'empty', 'refusal', 'copy', 'language', 'truncated'. Neighbours
+  and limits decide 'truncated' first; only where they are silent do rules: no end mark, an abbreviation or a connecting
+  word at the end, an open quotation or bracket.
 
 What stands inside quotations counts neither as a refusal nor as another language. Where ``chunk_text`` is null, the
 passage is read from ``input_text`` behind its last label. Defined cases: null and blank targets are 'empty'; null
@@ -16,6 +23,7 @@ inputs can't be copied; repeated rows of one key are one record (greatest values
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.sentences import MIDDLE, NUMBER_WORDS, TITLES, quotations
+from folio.llm.sentences import MIDDLE, NUMBER_WORDS, TITLES, Model, fit, quotations, split
 from folio.runtime import cut, read, ship, shuffle_parts
 
-SPIKE_LEAST, SPIKE_TIMES = 20, 6
+#: Words in less than this share of the texts are masked, in a finer and in a coarser form; at most (words a text) / share
+#: words are kept and sent around.
+FORM_SHARES = (0.03, 0.1)
+SPIKE_SHARE, SPIKE_TIMES = 0.002, 6
+TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[一-鿿ぁ-ヺ]|[^\W\d_]+|[^\w\s]")
+TRAIL = re.compile(r"(?:\s*(?:\.\.\.|…))?[\s,;:\[(（：，。–—-]*$")
 NOTHING = set("none null nil nan na n/a nothing empty missing unknown keine kein nichts leer rien aucun aucune vide ninguno ninguna nada vacío vacio 无 無 空 没有 なし 特になし 該当なし start tbd undefined".split())
 LABEL = re.compile(r"^\s*(?:\[[\w ]{1,24}\]|\(?[^\W\d_][\w ]{0,30}[:：]|#+ ?[\w ]{1,30}\n|\*\*[\w ]{1,30}\*\*:?)\s*")
 INPUT_LABEL = re.compile(r"(?:^|\n)\s*(?:\[[\w ]{1,24}\]|[^\W\d_][\w ]{0,40}[:：](?=\s))\s*")
@@ -51,6 +64,7 @@ CONNECTING = set(
     "the a an of by and or but because which was were that see for to with in on at from as if when while than of is are who whose und oder der die das dem den des von weil siehe mit für ein eine auf zu dass welche war "
     "le la les et ou de du des parce que qui voir avec pour un une dans sur dont el los las y o porque véase ver con por para un una en del al".split()
 )
+END_MARKS = tuple(".!?…。！？।")
 CLOSERS = "”’\"'»“」』）)]›"
 
 
@@ -134,9 +148,8 @@ def cut_off(target: str) -> bool | None:
             if c == "‘" and i and t[i - 1].isalnum():
                 continue
             return True
-    tail = t[-200:]
     for o, c in ("()", "[]", "（）"):
-        if tail.rfind(o) > tail.rfind(c):
+        if t.rfind(o) > t.rfind(c):
             return True
     body = t.rstrip(CLOSERS + "   ")
     if not body or body[-1] not in ".!?…。！？।":
@@ -160,13 +173,19 @@ def cut_off(target: str) -> bool | None:
     return bool(re.search(r"(?:^|[.!?…»]\s+)—[¿¡][^—?!]*[?!]$", t))  # Spanish dialogue without its speaker
 
 
-def defect(target: str | None, input_text: str | None, previous: str | None, chunk: str | None, shortened: bool, at_limit: bool) -> str | None:
-    """The pair's defect, or None."""
+def ends_well(target: str) -> bool:
+    """Whether the text ends in an end mark that is no ellipsis."""
+    body = target.rstrip().rstrip(CLOSERS + "   ")
+    return bool(body) and body[-1] in ".!?。！？।" and not body.endswith("...")
+
+
+def defect(target: str | None, input_text: str | None, previous: str | None, chunk: str | None, shortened: bool, at_limit: bool, whole: bool = False, astray: bool = False) -> str | None:
+    """The pair's defect, or None. shortened, astray, whole: what the neighbours say; at_limit: ends at a length limit."""
     if is_empty(target):
         return "empty"
     stripped = unlabelled(target)
     for text in (target, stripped):
-        if REFUSAL.match(text.strip()) and len(text) < 600:
+        if REFUSAL.match(text.strip()):
             return "refusal"
     passage = passage_of(input_text, chunk)
     forms = {squeeze(target), squeeze(stripped)} - {""}
@@ -177,49 +196,157 @@ def defect(target: str | None, input_text: str | None, previous: str | None, chu
     own, theirs = (language(plain(t), 1) or language(t) for t in (stripped, passage))
     if own and theirs and own != theirs:
         return "language"
-    state = cut_off(target)
-    if state or (state is None and (shortened or at_limit)):
+    if whole:
+        return None
+    if shortened or ((astray or at_limit) and not ends_well(target)):
         return "truncated"
-    return None
+    return "truncated" if cut_off(target) else None
 
 
 def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted texts in; (part, kind, t, next): 'row' with its successor's prefix test done, 'edge' with first and last."""
-    part = TaskContext.get().partitionId()
-    first = last = None
+    """Texts sorted by (t, probe) in. Out: 'row', a probe that is a proper prefix of a text; 'open', a probe that may still
+    be one of a text in a later partition; 'first', the partition's first text. Probes with a common prefix stand before
+    every text that begins with them, so only a chain of nested probes waits for the next text."""
+    part, first, chain = TaskContext.get().partitionId(), None, []
     for pdf in batches:
-        ts = pdf["t"].tolist()
-        if not ts:
-            continue
-        if first is None:
-            first = ts[0]
-        seq = ([last] if last is not None else []) + ts
-        hits = [a for a, b in zip(seq, seq[1:]) if b.startswith(a) and len(b) > len(a)]
-        last = ts[-1]
+        hits = []
+        for t, probe in zip(pdf["t"], pdf["probe"]):
+            chain = [c for c in chain if t.startswith(c)]
+            if probe:
+                chain.append(t)
+                continue
+            if first is None:
+                first = t
+            hits += [c for c in chain if len(c) < len(t)]
+            chain = []
         if hits:
-            yield pd.DataFrame({"part": part, "kind": "row", "t": hits, "other": None})
-    if first is not None:
-        yield pd.DataFrame({"part": [part], "kind": ["edge"], "t": [last], "other": [first]})
+            yield pd.DataFrame({"part": part, "kind": "row", "t": hits})
+    rows = [(part, "open", c) for c in chain] + ([(part, "first", first)] if first is not None else [])
+    if rows:
+        yield pd.DataFrame(rows, columns=["part", "kind", "t"])
+
+
+def prefixes_of(probes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those distinct probes (column t) that are proper prefixes of one of the texts (column t)."""
+    n = shuffle_parts(texts.sparkSession)
+    both = texts.select("t", F.lit(False).alias("probe")).unionByName(probes.select("t", F.lit(True).alias("probe"))).distinct()
+    done = cut(both.repartitionByRange(n, "t").sortWithinPartitions("t", "probe").mapInPandas(_prefixes, "part int, kind string, t string"))
+    firsts = done.where("kind = 'first'").select("part", F.col("t").alias("first"))  # a row a partition
+    following = firsts.select("part", "first").unionByName(done.where("kind = 'open'").select("part", F.lit(None).cast("string").alias("first")).distinct())
+    following = following.groupBy("part").agg(F.max("first").alias("first"))
+    behind = F.first("first", ignorenulls=True).over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing))
+    ahead = following.select("part", behind.alias("next")).where("next is not null")
+    late = done.where("kind = 'open'").join(F.broadcast(ahead), "part").where("startswith(next, t) and length(next) > length(t)")
+    return done.where("kind = 'row'").select("t").unionByName(late.select("t")).distinct()
 
 
 def shortened_texts(texts: DataFrame) -> DataFrame:
     """Those distinct texts (column t) that are proper prefixes of another one."""
-    n = shuffle_parts(texts.sparkSession)
-    done = cut(texts.repartitionByRange(n, "t").sortWithinPartitions("t").mapInPandas(_prefixes, "part int, kind string, t string, other string"))
-    edges = done.where("kind = 'edge'").withColumn("next", F.lead("other").over(Window.orderBy("part")))  # a row a partition
-    return done.where("kind = 'row'").select("t").unionByName(edges.where("next is not null and startswith(next, t) and length(next) > length(t)").select("t")).distinct()
+    return prefixes_of(texts, texts)
+
+
+def form(text: str, kept: frozenset) -> list[str]:
+    """Tokens of a text with figures and rare words masked; masked words keep their case, runs of masked signs are one."""
+    out: list[str] = []
+    for w in TOKEN.findall(text):
+        if w[0].isdigit():
+            w = "0"
+        elif w not in kept:
+            w = "A" if w[0].isupper() else "a" if w[0].islower() else "_"
+            if w == "_" and out and out[-1] == "_":
+                continue
+        out.append(w)
+    return out
+
+
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many texts of the batch each word stands; words of one text in it are left to the sum over batches too."""
+    for pdf in batches:
+        n: Counter = Counter()
+        texts = 0
+        for col in ("target_text", "chunk_text"):
+            for t in pdf[col]:
+                if t:
+                    texts += 1
+                    n.update(set(TOKEN.findall(t)))
+        yield pd.DataFrame({"word": ["", *n], "n": [texts, *n.values()]})
+
+
+def frequent_words(pairs: DataFrame, shares: tuple[float, ...] = FORM_SHARES) -> list[frozenset]:
+    """Words in at least each share of all texts: never more than the words of an average text divided by the share."""
+    n = pairs.select("target_text", "chunk_text").mapInPandas(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    whole = n.where("word = ''").select(F.col("n").alias("texts"))
+    kept = n.crossJoin(F.broadcast(whole)).where(F.col("n") >= F.lit(min(shares)) * F.col("texts"))  # one row
+    rows = kept.where("word <> ''").collect()
+    return [frozenset(r["word"] for r in rows if r["n"] >= share * r["texts"]) for share in shares]
+
+
+def _last(text: str, model: Model) -> tuple[list[str], str]:
+    """The sentences of a text but the last, and the last one."""
+    spans = [x for block in re.finditer(r"[^\n]+", text) for x in ((block.start() + a, block.start() + b) for a, b in split(block.group(), False, model))]
+    parts = [text[a:b] for a, b in spans]
+    return parts[:-1], (parts[-1] if parts else text.strip())
+
+
+FORMS = "pair_id long, kind string, t string"
+
+
+def _forms(levels: list[frozenset], model: Model):
+    """'whole': forms of whole sentences, at each level of masking. 'own': the last sentence of a target, at each level;
+    'cut0' to 'cut3': its finest form without what trails and the last 0 to 3 tokens. A form begins with its level."""
+    line = lambda tokens, level=0: f"{level} " + "".join(w + " " for w in tokens)
+    kept = levels[0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for pid, target, chunk in zip(pdf["pair_id"], pdf["target_text"], pdf["chunk_text"]):
+                wholes: list[str] = []
+                if chunk:
+                    wholes, last = _last(chunk, model)
+                    if ends_well(last):
+                        wholes = [*wholes, last]
+                if target and target.strip():
+                    more, tail = _last(target, model)
+                    wholes = [*wholes, *more]
+                    marked = tail.rstrip(CLOSERS + " ")[-1:] in END_MARKS  # without any mark a coarse likeness says nothing
+                    rows += [(pid, "own", line(form(tail, k), i)) for i, k in enumerate(levels if marked else levels[:1])]
+                    bare = form(TRAIL.sub("", tail), kept)
+                    rows += [(pid, f"cut{k}", line(bare[: len(bare) - k])) for k in range(4) if len(bare) - k >= max(1, 2 * k)]
+                rows += [(None, "whole", line(f, i)) for i, k in enumerate(levels) for f in {tuple(form(x, k)) for x in wholes} if f]
+            out = pd.DataFrame(rows, columns=["pair_id", "kind", "t"])
+            yield out.astype({"pair_id": "Int64"})
+
+    return run
+
+
+def neighbours(pairs: DataFrame) -> DataFrame:
+    """pair_id, whole, shortened, astray: what the sorted forms say of each target's last sentence. A form is a whole
+    sentence's if it stands as one apart from the targets' ends; a target's own end is no witness for another one."""
+    levels, model = frequent_words(pairs), fit([])
+    forms = cut(pairs.select("pair_id", "target_text", "chunk_text").mapInPandas(_forms(levels, model), FORMS))
+    wholes = cut(forms.where("kind = 'whole'").select("t").distinct())
+    ends = forms.where("kind <> 'whole'")
+    stands = wholes.withColumn("stands", F.lit(True))
+    goes_on = prefixes_of(ends.where("kind <> 'own'").select("t").distinct(), wholes).withColumn("goes_on", F.lit(True))
+    seen = ends.join(stands, "t", "left").join(goes_on, "t", "left")
+    is_ = lambda k, c: F.coalesce(F.max(F.when(F.col("kind") == k, F.col(c))), F.lit(False))
+    said = seen.groupBy("pair_id").agg(is_("own", "stands").alias("whole"), is_("cut0", "goes_on").alias("on0"), is_("cut1", "goes_on").alias("on1"), (is_("cut2", "goes_on") | is_("cut3", "goes_on")).alias("on2"))
+    return said.select("pair_id", "whole", F.col("on0").alias("shortened"), (F.col("on1") | F.col("on2")).alias("astray"))
 
 
 def limits(lengths: DataFrame) -> DataFrame:
-    """Lengths (column n) at which far more texts end than at the ten lengths around."""
+    """Lengths (column n) at which far more texts end than at the ten lengths around, by shares of all texts."""
     count = lengths.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    whole = count.agg(F.sum("k").alias("all"))
     around = count.select(F.explode(F.sequence(F.col("n") - 5, F.col("n") + 5)).alias("m"), "n", "k").where("m <> n").groupBy(F.col("m").alias("n")).agg(F.sum("k").alias("near"))
-    return count.join(around, "n", "left").where((F.col("k") >= SPIKE_LEAST) & (F.col("k") * 10 >= SPIKE_TIMES * F.coalesce("near", F.lit(0)))).select("n")
+    wide = count.join(around, "n", "left").crossJoin(F.broadcast(whole))  # one row
+    return wide.where((F.col("k") > F.lit(SPIKE_SHARE) * F.col("all")) & (F.col("k") * 10 >= SPIKE_TIMES * (F.coalesce("near", F.lit(0)) + 10))).select("n")
 
 
 def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = [defect(r.target_text, r.input_text, r.previous_summary, r.chunk_text, bool(r.shortened), bool(r.at_limit)) for r in pdf.itertuples(index=False)]
+        out = [defect(r.target_text, r.input_text, r.previous_summary, r.chunk_text, bool(r.shortened), bool(r.at_limit), bool(r.whole), bool(r.astray)) for r in pdf.itertuples(index=False)]
         keep = np.array([x is not None for x in out], bool)
         yield pd.DataFrame({"pair_id": pdf["pair_id"].to_numpy()[keep], "defect": [x for x in out if x is not None]})
 
@@ -229,13 +356,11 @@ def defective_pairs(pairs: DataFrame) -> DataFrame:
     ship(pairs.sparkSession)
     cols = ("target_text", "input_text", "previous_summary", "chunk_text")
     one = cut(pairs.where("pair_id is not null").groupBy("pair_id").agg(*[F.max(c).alias(c) for c in cols]))
-    # what a cut leaves: without trailing dots and spaces
-    bare = F.regexp_replace(F.rtrim("target_text"), "(\\s*(\\.\\.\\.|…))?\\s*$", "")
-    one = one.withColumn("t", bare).withColumn("n", F.length("target_text"))
-    short = shortened_texts(one.where("length(t) >= 20").select("t").distinct()).withColumn("shortened", F.lit(True))
+    one = one.withColumn("n", F.length("target_text"))
     spikes = limits(one.where("n > 0").select("n")).withColumn("at_limit", F.lit(True))
-    wide = one.join(short, "t", "left").join(spikes, "n", "left").fillna(False, ["shortened", "at_limit"])
-    return wide.select("pair_id", *cols, "shortened", "at_limit").mapInPandas(_judged, "pair_id long, defect string")
+    flags = ["whole", "shortened", "astray", "at_limit"]
+    wide = one.join(neighbours(one), "pair_id", "left").join(F.broadcast(spikes), "n", "left").fillna(False, flags)  # fewer than 1 / SPIKE_SHARE limits
+    return wide.select("pair_id", *cols, *flags).mapInPandas(_judged, "pair_id long, defect string")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
