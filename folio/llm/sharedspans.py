@@ -9,9 +9,11 @@ also stand, exactly so, in another record.
   by score minus gap costs with a Fenwick tree of prefix maxima, chain after chain until no match is left, and each
   chain is aligned: its matches are extended as far as the texts agree. Exact runs of ``length`` and more give
   the shared characters; a chain with all its gaps is a fuzzy passage.
-* **Hot seeds.** A seed in more than ``SEED_CAP`` texts makes quadratic pairs. For the exact spans the windows of
-  ``length`` characters around the seed are hashed and counted instead, which is linear and loses nothing. The fuzzy
-  report names pairs of texts, so there every seed is joined, however hot.
+* **Hot seeds.** A seed in more than ``SEED_CAP`` texts makes quadratic pairs. For the exact spans each window of
+  ``length`` characters around such a seed is matched with one representative instead, the least or, where that is of
+  the same record, the greatest record that has an equal hash. These matches, linear in number, are chained and aligned
+  on the texts like all others, so equal hashes of different windows do no harm and every shared window lies in an
+  aligned run. The fuzzy report names pairs of texts, so there every seed is joined, however hot.
 * **Fuzzy seeds.** The fuzzy chains have shorter seeds of their own: ``FUZZY_SEED`` characters, one at least in every
   exact run of ``FUZZY_RUN``. A passage with an edit at least every ``FUZZY_SEED`` characters has none.
 
@@ -170,6 +172,29 @@ def _windows(k: int, length: int):
     return run
 
 
+SALT = 8
+
+
+def _meet(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``keyed``, one row a key, of which each has SALT copies: a hot key's rows go to SALT tasks."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("tid"), F.lit(SALT)).cast("int"))
+    return salted.join(keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [key, "_salt"]).drop("_salt")
+
+
+def _to_representatives(texts: DataFrame, hot: DataFrame, length: int, k: int) -> DataFrame:
+    """Matches of windows around hot seeds with windows of another record: one for each run and partner, as a, b, matches."""
+    at = hot.groupBy("tid").agg(F.collect_set("pos").alias("at"))
+    wins = at.join(texts, "tid").select("tid", "text", "at").mapInPandas(_windows(k, length), "tid binary, s long, g long")
+    wins = wins.join(texts.select("tid", "r_min", "r_max"), "tid")
+    ends = wins.groupBy("g").agg(F.min(F.struct("r_min", "tid", "s")).alias("lo"), F.max(F.struct("r_max", "tid", "s")).alias("hi")).where("lo.r_min <> hi.r_max")
+    met = _meet(wins.where("r_min = r_max"), ends, "g")  # a text of several records is shared as a whole
+    other = F.when(F.col("lo.r_min") != F.col("r_min"), F.struct("lo.tid", "lo.s")).otherwise(F.struct("hi.tid", "hi.s"))
+    met = met.select(F.col("tid").alias("a"), F.col("s").alias("p"), other.alias("o")).select("a", "p", F.col("o.tid").alias("b"), F.col("o.s").alias("q"))
+    # windows of one diagonal that begin within ``length`` characters lie in one run
+    runs = met.groupBy("a", "b", F.expr("p - q").alias("diagonal"), F.floor(F.col("p") / length).alias("block")).agg(F.min(F.struct("p", "q")).alias("m"))
+    return runs.groupBy("a", "b").agg(F.collect_list(F.struct(F.col("m.p").cast("int").alias("p"), F.col("m.q").cast("int").alias("q"))).alias("matches"))
+
+
 def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
@@ -202,7 +227,7 @@ def _parts(fields: DataFrame, length: int, run: int, k: int) -> tuple[DataFrame,
     seeds = texts.select("tid", "text").mapInPandas(_seeds(k, run - k + 1, length), "tid binary, h long, pos int")
     seeds = cut(seeds.join(texts.select("tid", "r_min", "r_max"), "tid"))
     counts = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("r_min").alias("lo"), F.max("r_max").alias("hi")).where("n > 1 and lo <> hi").select("h", "n")
-    return owners, texts, cut(seeds.join(counts, "h"))
+    return owners, texts, cut(_meet(seeds, counts, "h"))
 
 
 def _paired(texts: DataFrame, common: DataFrame, length: int, k: int) -> DataFrame:
@@ -210,6 +235,11 @@ def _paired(texts: DataFrame, common: DataFrame, length: int, k: int) -> DataFra
     side = lambda a, p: common.select("h", F.col("tid").alias(a), F.col("pos").alias(p), F.col("r_min").alias(f"{a}_lo"), F.col("r_max").alias(f"{a}_hi"))
     pairs = side("a", "p").join(side("b", "q"), "h").where("a < b and not (a_lo = a_hi and b_lo = b_hi and a_lo = b_lo)")
     pairs = pairs.groupBy("a", "b").agg(F.collect_list(F.struct("p", "q")).alias("matches"))
+    return _on_texts(texts, pairs, length, k)
+
+
+def _on_texts(texts: DataFrame, pairs: DataFrame, length: int, k: int) -> DataFrame:
+    """Matches (a, b, matches of k characters) chained and aligned on the texts."""
     text = lambda a: texts.select(F.col("tid").alias(a), F.col("text").alias(f"{a}_text"))
     return pairs.join(text("a"), "a").join(text("b"), "b").mapInPandas(_aligned(k, length), PAIRED)
 
@@ -218,13 +248,9 @@ def shared_spans(fields: DataFrame, length: int = LENGTH, k: int = SEED) -> Data
     """Maximal runs of shared characters: field_name, record_id, span_start, span_end."""
     owners, texts, common = _parts(fields, length, length, k)
     found = _paired(texts, common.where(F.col("n") <= SEED_CAP), length, k)
-    hot = common.where(F.col("n") > SEED_CAP).groupBy("tid").agg(F.collect_set("pos").alias("at"))
-    wins = hot.join(texts, "tid").select("tid", "text", "at").mapInPandas(_windows(k, length), "tid binary, s long, g long")
-    wins = wins.join(texts.select("tid", "r_min", "r_max"), "tid")
-    often = wins.groupBy("g").agg(F.min("r_min").alias("lo"), F.max("r_max").alias("hi")).where("lo <> hi").select("g")
-    by_window = wins.join(often, "g", "left_semi").select("tid", F.col("s"), (F.col("s") + length).alias("e"))
+    found = found.unionByName(_on_texts(texts, _to_representatives(texts, common.where(F.col("n") > SEED_CAP), length, k), length, length))
     whole = texts.where("r_min <> r_max").select("tid", F.lit(0).cast("long").alias("s"), F.length("text").cast("long").alias("e"))
-    spans = found.where("kind = 'exact'").select("tid", F.col("span_start").alias("s"), F.col("span_end").alias("e")).unionByName(by_window).unionByName(whole)
+    spans = found.where("kind = 'exact'").select("tid", F.col("span_start").alias("s"), F.col("span_end").alias("e")).unionByName(whole)
     runs = spans.groupBy("tid").agg(F.collect_set(F.struct("s", "e")).alias("spans")).mapInPandas(_merged, "tid binary, span_start long, span_end long")
     return owners.join(runs, "tid").select("field_name", "record_id", "span_start", "span_end")
 

@@ -182,3 +182,15 @@ def test_leaks_of_nothing(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     i = spark.createDataFrame([], "item_id long, lang string, passage string")
     assert leakage.leaked_items(d, i).count() == 0
+
+
+def test_windows_of_hot_seeds_are_chained_to_representatives(spark, monkeypatch):
+    """One seed in all texts, of which three share a longer part with one other text each."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    core = text(20)
+    recs = [("x", i, f"r{i}", text(30) + core + text(30)) for i in range(8)]
+    recs += [("x", 20 + i, f"r{20 + i}", text(9) + recs[i][3][15:65] + text(9)) for i in range(3)]
+    df = spark.createDataFrame(recs, "field_name string, record_id long, record string, text string")
+    monkeypatch.setattr(sharedspans, "SEED_CAP", 2)
+    assert {tuple(r) for r in sharedspans.shared_spans(df, 40, 20).collect()} == span_brute(recs, 40) != set()
