@@ -1,10 +1,15 @@
 """Left-over template, filler and server or browser messages instead of content (problem 9).
 
 Texts are cut into segments (lines and sentences). Segments that hold a slot, filler or a phrase are masked - numbers,
-addresses, ids and dates - and their exact normalised hashes are grouped over all documents and sources. Rules then
-classify each hash: a *firm* phrase standing at the start of a segment, a slot or filler counts by itself; a *soft*
-phrase counts only in a block that holds one of ``TRIGGERS``, the strict list, and where the masked message recurs in at
-least ``MIN_DOCS`` documents and ``MIN_SOURCES`` sources.
+addresses, ids, dates, the words of pseudo-Latin and repeats - and their exact normalised hashes are grouped over all
+documents and sources. Phrase rules look at a segment before it is hashed, which leaves the rest out of the shuffle;
+what they find is decided by how far it spreads:
+
+* **recurring** (at least ``MIN_DOCS`` documents and ``MIN_SOURCES`` sources): a slot, filler or a *firm* phrase at the
+  start of a sentence is residue wherever it stands; a *soft* phrase is where its block holds one of ``TRIGGERS``, the
+  strict list.
+* **single**: slots and filler count; a firm phrase counts only where it begins a line, as a message does that stands for
+  itself; soft phrases don't.
 
 A slot that is merely shown, that is, quoted by itself or after one word of greeting, is discussed and no residue;
 neither is a phrase in the middle of a sentence.
@@ -28,6 +33,7 @@ from pyspark.sql import functions as F
 from folio.runtime import cut, read, ship, spread
 
 MIN_DOCS, MIN_SOURCES = 4, 3
+SALT = 8
 
 SLOT = re.compile(
     r"\{\{[^{}]{0,60}\}\}|\{%[^%{}]{1,80}%\}|<%=?[^%<>]{1,80}%>|\$\{[^{}]{1,60}\}|%\(\w+\)[sd]|\{[A-Za-z]\w{2,40}\}"
@@ -75,6 +81,7 @@ LOREM = set(
     "quam tellus viverra sodales sodal viver erat vel velit massa mauris turpis vitae purus".split()
 )
 ENDS = re.compile(r"\n\s*\n|(?<=[.!?…।])\s+|(?<=[。！？])|\n|(?<=[\u0e00-\u0e7f]) +(?=[\u0e00-\u0e7f])")
+_STOPS = re.compile(r"(?<=[.!?…।])\s+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W\d_]+")
 _MASKS = (
     (re.compile(r"https?://\S+|\bwww\.\S+|\S+@\S+\.\w+|/[\w./-]+"), "<addr>"),
@@ -124,19 +131,27 @@ def repeated(block: str) -> bool:
     return sum(n for _, n in top) >= 0.8 * len(tokens)
 
 
-SEGMENTS = "doc_id long, source string, reason string, h long, masked string"
+def plain_filler(block: str) -> str:
+    """Normal form of filler: pseudo-Latin as such, other words once each in the order of the alphabet."""
+    words = set(_WORD.findall(block.lower()))
+    return "<filler> " + ("<latin>" if len(words & LOREM) >= 3 else " ".join(sorted(words)))
+
+
+SEGMENTS = "doc_id long, source string, reason string, line boolean, h long, masked string"
 
 
 def judge(text: str) -> list[tuple[str, str]]:
     """(reason, segment) for what in a text may be residue; reasons 'slot', 'filler' and 'firm' are certain, 'soft' isn't."""
-    out = [("slot", s) for s in slots(text)[:1]]
-    out += [("filler", block[:80]) for block in text.replace("\n \n", "\n\n").split("\n\n") if repeated(block)][:1]
+    out = [("slot", s) for s in slots(text)]
+    out += [("filler", block) for block in text.replace("\n \n", "\n\n").split("\n\n") if repeated(block)]
+    small = text.lower()
+    somewhere = any(k in small for k in TRIGGERS)  # lower case keeps all triggers of a block in the text
     for block in re.split(r"\n\s*\n", text):
         if filler(block):
-            out.append(("filler", block[:80]))
+            out.append(("filler", block))
             continue
-        small = block.lower()
-        strict = any(k in small for k in TRIGGERS)
+        low = block.lower() if somewhere else ""
+        strict = somewhere and any(k in low for k in TRIGGERS)
         for segment in ENDS.split(block):
             s = " ".join(segment.split())
             if not s:
@@ -145,12 +160,12 @@ def judge(text: str) -> list[tuple[str, str]]:
                 out.append(("firm", s))
             elif strict and SOFT.search(s):
                 out.append(("soft", s))
-    # a message over several lines
-    joined = " ".join(text.split())
-    if not any(r in ("firm", "filler") for r, _ in out):
-        for segment in re.split(r"(?<=[.!?…।])\s+|(?<=[。！？])", joined):
-            if FIRM.match(segment.strip()):
-                out.append(("firm", segment.strip()))
+    if "\n" in text.strip() and not any(r in ("firm", "filler") for r, _ in out):  # a message over several lines
+        for segment in _STOPS.split(text):
+            if "\n" in segment.strip():
+                s = " ".join(segment.split())
+                if FIRM.match(s):
+                    out.append(("firm", s))
     return out
 
 
@@ -158,27 +173,37 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for doc, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"]):
-            for reason, segment in judge(text):
-                m = mask(segment)
-                rows.append((doc, source, reason, np.uint64(xxhash.xxh64_intdigest(m)).astype(np.int64), m))
-        yield pd.DataFrame(rows, columns=["doc_id", "source", "reason", "h", "masked"]).astype({"doc_id": np.int64, "h": np.int64})
+            found = judge(text)
+            lines = {" ".join(x.split()) for x in text.split("\n")} - {""} if any(r == "firm" for r, _ in found) else set()
+            for reason, segment in set(found):
+                m = plain_filler(segment) if reason == "filler" else mask(segment)
+                line = reason == "firm" and any(x.startswith(segment) or segment.startswith(x) for x in lines)
+                rows.append((doc, source, reason, line, np.uint64(xxhash.xxh64_intdigest(m)).astype(np.int64), m))
+        yield pd.DataFrame(rows, columns=["doc_id", "source", "reason", "line", "h", "masked"]).astype({"doc_id": np.int64, "h": np.int64, "line": bool})
 
 
 def residue_segments(documents: DataFrame) -> DataFrame:
-    """Suspicious segments with the number of documents and sources in which their masked form stands."""
+    """Suspicious segments with the number of documents and sources in which their masked form stands, and their class:
+    'recurring' or 'single'; ``residue`` tells those that are residue."""
     ship(documents.sparkSession)
     source = F.coalesce(F.regexp_replace(F.lower(F.trim("source")), "[^a-z0-9]+", "_"), F.lit("?"))
     docs = spread(documents.where("doc_id is not null and text is not null and trim(text) <> ''").select("doc_id", source.alias("source"), "text"))
     seen = cut(docs.mapInPandas(_segments, SEGMENTS))  # read twice: for the widths and for the documents
     widths = seen.groupBy("h").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("source").alias("n_sources"))
-    return seen.join(widths, "h")
+    # a widespread message has its rows in SALT tasks
+    salted = seen.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
+    wide = widths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    out = salted.join(wide, ["h", "_salt"]).drop("_salt")
+    recurs = (F.col("n_docs") >= MIN_DOCS) & (F.col("n_sources") >= MIN_SOURCES)
+    alone = F.col("reason").isin("slot", "filler") | ((F.col("reason") == "firm") & F.col("line"))
+    return out.withColumn("class", F.when(recurs, "recurring").otherwise("single")).withColumn("residue", recurs | alone)
 
 
 def residue(documents: DataFrame) -> DataFrame:
-    """doc_id and the reasons of every document that holds residue."""
-    wide = (F.col("n_docs") >= MIN_DOCS) & (F.col("n_sources") >= MIN_SOURCES)
-    found = residue_segments(documents).where((F.col("reason") != "soft") | wide)
-    return found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+    """doc_id, the reasons and the classes of every document that holds residue."""
+    found = residue_segments(documents).where("residue")
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return found.groupBy("doc_id").agg(listed("reason").alias("reasons"), listed("class").alias("classes"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +212,6 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The masked messages with their spread over documents and sources."""
+    """The masked messages with their spread over documents and sources, their class, and whether they are residue."""
     found = residue_segments(read(spark, sf_dir, "documents", "doc_id", "source", "text"))
-    return found.groupBy("h").agg(F.min("masked").alias("masked"), F.min("reason").alias("reason"), F.max("n_docs").alias("n_docs"), F.max("n_sources").alias("n_sources")).drop("h")
+    return found.groupBy("h").agg(F.min("masked").alias("masked"), F.min("reason").alias("reason"), F.max("n_docs").alias("n_docs"), F.max("n_sources").alias("n_sources"), F.max("class").alias("class"), F.max("residue").alias("residue")).drop("h")

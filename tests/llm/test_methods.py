@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from folio.llm import pairs, sentences, splitting
+from folio.llm import pairs, residue, sentences, splitting
 
 
 def table(sf, name, columns, key):
@@ -84,3 +84,21 @@ def test_kind_of_boundary_comes_from_the_merging():
     assert strongest == 3 and left[0][0] == 0 and left[-1][1] == 2300
     assert splitting.merge([(0, 0), (500, 2)], 900, 1500, 150) == ([(0, 900, 0)], 2)
     assert splitting.merge([(0, 0)], 900, 1500, 150) == ([(0, 900, 0)], 0)
+
+
+def test_recurrence_decides_messages_within_lines(spark):
+    """A firm phrase inside a line is a message where it recurs over documents and sources, and a sentence where it doesn't."""
+    said = "The clerk read it out. Service unavailable, code {}. Then he sat down."
+    rows = [(i, f"s{i % 3}", said.format(i)) for i in range(6)] + [(20, "s1", "He nodded. Too many requests had come, he said."), (21, "s1", "Gateway time-out at noon\nHe nodded.")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = {r.doc_id: r.classes for r in residue.residue(df).collect()}
+    assert found == {i: "recurring" for i in range(6)} | {21: "single"}
+    few = df.where("doc_id >= 4")
+    assert {r.doc_id for r in residue.residue(few).collect()} == {21}
+
+
+def test_filler_and_slots_recur_by_their_normal_form():
+    assert residue.plain_filler("Lorem ipsum dolor sit.") == residue.plain_filler("Amet quam arcu lorem!")
+    assert residue.plain_filler("text, text, text text") == "<filler> text"
+    many = "Dear {{name}}, " + "x " * 50 + "on {{date}}"
+    assert [s for r, s in residue.judge(many) if r == "slot"] == ["{{name}}", "{{date}}"]
