@@ -3,16 +3,20 @@
 A record is a *set*: the distinct lower-cased words of a text, or the distinct numbers of a provenance list.
 Two records match when ``|A & B| / |A | B| >= threshold``. How the exact answer is reached:
 
+* **Copies.** Records with equal sets are one class; only a class's representative is indexed.
+* **Shards by rare element.** Elements have one order, rare ones first. Of two matching sets the first
+  ``|A| - ceil(t |A|) + 1`` elements in that order have one in common, so each set goes to a shard for each of these
+  elements of its group and meets all its matches there. How many shards a set visits depends on its own size only.
+  ``RANKED`` most frequent elements are counted and ordered last; the order decides how large shards are, not what is found.
 * **Fingerprint.** Every element toggles one bit of a ``bits``-wide vector (a parity sketch). The Hamming
   distance of two fingerprints never exceeds ``|A ^ B|``, and a matching pair has
   ``|A ^ B| <= (1 - t) / t * min(|A|, |B|)``. So a range search with that radius loses no pair.
-* **Copies.** Records with equal sets are one class; only a class's representative is indexed.
 * **Tree.** Vantage points are picked on a bounded sample (``TREE_SAMPLE`` fingerprints, only the shape of
   the tree depends on it); every fingerprint is indexed. The root's vantage point is the empty set, which makes
-  the first split a split by size. A class of size ``n_group`` uses only as many levels as it needs to come down
-  to ``LEAF`` members a shard.
-* **Search.** A record goes home to one shard and visits every shard that the triangle bound
-  ``d(q, v) - r <= mu`` / ``d(q, v) + r > mu`` leaves open. Within a shard the tree goes on locally. Every
+  the first split a split by size. A shard of a frequent element is split by as many levels as it needs to come down to
+  ``LEAF`` members: a set goes home to one part and visits every part that the triangle bound
+  ``d(q, v) - r <= mu`` / ``d(q, v) + r > mu`` leaves open.
+* **Search.** Within a shard, or a part of one, a tree of its own is grown and searched with the same bound. Every
   candidate is then checked on the sets themselves, with integer arithmetic.
 
 Nulls and empty values make no record. Rows repeated under one key are one record (the greatest value counts).
@@ -33,7 +37,8 @@ from pyspark.sql import functions as F
 from folio.runtime import cut, read, ship, shuffle_parts
 
 TREE_SAMPLE = 4096
-TREE_DEPTH = 10
+RANKED = 200_000
+SALT = 8
 LEAF = 4096
 THRESHOLD = Fraction(7, 10)
 WORD = re.compile(r"\w+")
@@ -114,13 +119,13 @@ def radius(sizes: np.ndarray, t: Fraction) -> np.ndarray:
     return (sizes.astype(np.int64) * (t.denominator - t.numerator)) // t.numerator
 
 
-def build_tree(fps: np.ndarray, sizes: np.ndarray, t: Fraction, depth: int, seed: int = 7) -> dict[int, tuple[np.ndarray, int]]:
+def build_tree(fps: np.ndarray, sizes: np.ndarray, t: Fraction, seed: int = 7) -> dict[int, tuple[np.ndarray, int]]:
     """Heap-numbered nodes (root 1): vantage point and split distance."""
     rng = np.random.default_rng(seed)
     nodes: dict[int, tuple[np.ndarray, int]] = {}
 
     def grow(node: int, idx: np.ndarray, level: int) -> None:
-        if level == depth or len(idx) < 8:
+        if len(idx) < 8:
             return
         best = None
         tries = [np.zeros(fps.shape[1], np.uint64)] if node == 1 else [fps[i] for i in rng.choice(idx, min(12, len(idx)), False)]
@@ -179,23 +184,73 @@ def _as_array(col: pd.Series, words: int) -> np.ndarray:
     return np.frombuffer(b"".join(col), np.uint64).reshape(len(col), words)
 
 
-SHARDED = "record_kind string, grp string, shard int, home boolean, id long, size int, fp binary"
+def element_keys(items: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """One number for each element of a group of records."""
+    x = (items.view(np.uint64) ^ group) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def _flat(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(elements' keys, the row each belongs to, sizes) of all sets of a batch."""
+    sizes = part["size"].to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(part)), sizes)
+    names = {g: np.uint64(xxhash.xxh64_intdigest("\0".join(g))) for g in set(zip(part["record_kind"], part["grp"]))}
+    group = np.array([names[g] for g in zip(part["record_kind"], part["grp"])], np.uint64)
+    items = np.concatenate([np.asarray(x, np.int64) for x in part["items"]]) if len(part) else np.empty(0, np.int64)
+    return element_keys(items, group[owner]), owner, sizes
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Elements of more than one set of the batch with their number. What stands in one set of each batch is rare."""
+    for pdf in batches:
+        keys, n = np.unique(_flat(pdf)[0], return_counts=True)
+        yield pd.DataFrame({"key": keys[n > 1], "n": n[n > 1].astype(np.int64)})
+
+
+def frequent_elements(reps: DataFrame, most: int = RANKED) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, in how many sets each stands) of at most ``most`` elements, the most frequent ones."""
+    n = reps.select("record_kind", "grp", "size", "items").mapInPandas(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = n.orderBy(F.desc("n"), "key").limit(most).toPandas().sort_values("key")
+    return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-def _router(trees: dict[str, dict], bits: int, t: Fraction):
+def prefixes(keys: np.ndarray, owner: np.ndarray, sizes: np.ndarray, known: tuple[np.ndarray, np.ndarray], t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, element, its number or 0) of the rarest elements of each set, as many as a match must share one of."""
+    names, counts = known
+    n = np.zeros(len(keys), np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+        n = np.where(names[at] == keys, counts[at], 0)
+    order = np.lexsort((keys, n, owner))
+    first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    length = sizes - -(-sizes * t.numerator // t.denominator) + 1
+    take = order[np.arange(len(keys)) - first[owner] < length[owner]]
+    return owner[take], keys[take], n[take]
+
+
+SHARDED = "shard long, part int, role byte, id long, size int, fp binary"
+MEMBER, VISITOR, BOTH = 0, 1, 2
+
+
+def _router(trees: dict[str, dict], known: tuple[np.ndarray, np.ndarray], bits: int, t: Fraction, leaf: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for kind, part in pdf.groupby("record_kind", sort=False):
-                fp = [fingerprint(np.asarray(x, np.int64), bits) for x in part["items"]]
-                fps = np.frombuffer(b"".join(fp), np.uint64).reshape(len(fp), bits // 64)
-                size = part["size"].to_numpy()
-                n = part["n_group"].to_numpy()
-                depth = np.ceil(np.log2(np.maximum(1, n / LEAF))).astype(int)
-                row, shard, home = route(trees.get(kind, {}), fps, radius(size, t), depth)
-                yield pd.DataFrame({
-                    "record_kind": kind, "grp": part["grp"].to_numpy()[row], "shard": shard, "home": home,
-                    "id": part["id"].to_numpy()[row], "size": size[row], "fp": np.array(fp, object)[row],
-                })
+                row, shard, n = prefixes(*_flat(part), known, t)
+                fp = np.array([fingerprint(np.asarray(x, np.int64), bits) for x in part["items"]], object)
+                size, ids = part["size"].to_numpy(), part["id"].to_numpy()
+                small = n <= leaf
+                r = row[small]
+                yield pd.DataFrame({"shard": shard[small], "part": 1, "role": np.int8(BOTH), "id": ids[r], "size": size[r], "fp": fp[r]})
+                if small.all():
+                    continue
+                big, at = row[~small], shard[~small]
+                fps = np.frombuffer(b"".join(fp[big]), np.uint64).reshape(len(big), bits // 64)
+                depth = np.ceil(np.log2(n[~small] / leaf)).astype(int)
+                x, node, home = route(trees.get(kind, {}), fps, radius(size[big], t), depth)
+                for role, keep in ((MEMBER, home), (VISITOR, np.ones(len(x), bool))):
+                    y = x[keep]
+                    yield pd.DataFrame({"shard": at[y], "part": node[keep], "role": np.int8(role), "id": ids[big[y]], "size": size[big[y]], "fp": fp[big[y]]})
 
     return run
 
@@ -203,7 +258,7 @@ def _router(trees: dict[str, dict], bits: int, t: Fraction):
 def search(m_fp, m_id, m_r, q_fp, q_id, q_r) -> list[tuple[np.ndarray, np.ndarray]]:
     """Candidate (member id, query id) with member id < query id, by a tree grown on the members."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    rng = np.random.default_rng(11)
+    rng = None
 
     def brute(m: np.ndarray, q: np.ndarray) -> None:
         step = max(1, (1 << 18) // max(1, len(m)))
@@ -225,6 +280,7 @@ def search(m_fp, m_id, m_r, q_fp, q_id, q_r) -> list[tuple[np.ndarray, np.ndarra
         if len(m) <= 96 or level > 24:
             brute(m, q)
             continue
+        rng = rng or np.random.default_rng(11)
         v = m_fp[rng.choice(m)]
         dm = _hamming(m_fp[m], v)
         mu = int(np.median(dm))
@@ -245,27 +301,46 @@ def search(m_fp, m_id, m_r, q_fp, q_id, q_r) -> list[tuple[np.ndarray, np.ndarra
 def _shards(bits: int, t: Fraction):
     words = bits // 64
 
+    def columns(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _as_array(p["fp"], words), p["id"].to_numpy(), radius(p["size"].to_numpy(), t)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, members, mem = None, [], None
+        key, held, members = None, [], None
+
+        def close() -> list[tuple[np.ndarray, np.ndarray]]:
+            """Matches among the rows of a small shard, which are members and visitors at once."""
+            if not held or (len(held) == 1 and len(held[0][1]) < 2):
+                return []
+            rows = tuple(np.concatenate(x) for x in zip(*held)) if len(held) > 1 else held[0]
+            return search(*rows, *rows)
+
         for pdf in batches:
             if not len(pdf):
                 continue
-            change = (pdf[["record_kind", "grp", "shard"]] != pdf[["record_kind", "grp", "shard"]].shift()).any(axis=1)
-            for _, part in pdf.groupby(change.cumsum().to_numpy(), sort=False):
-                k = (part["record_kind"].iat[0], part["grp"].iat[0], part["shard"].iat[0])
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            shard, part = pdf["shard"].to_numpy(), pdf["part"].to_numpy()
+            fp, ids, r = columns(pdf)
+            role = pdf["role"].to_numpy()
+            edges = np.flatnonzero((shard[1:] != shard[:-1]) | (part[1:] != part[:-1])) + 1
+            for a, b in zip([0, *edges], [*edges, len(pdf)]):
+                k = (shard[a], part[a])
                 if k != key:
-                    key, members, mem = k, [], None
-                # Members come twice, first as members, then as visitors, so a shard is never held whole.
-                first = part["role"].to_numpy() == 0
-                if first.any():
-                    p = part[first]
-                    members.append((_as_array(p["fp"], words), p["id"].to_numpy(), radius(p["size"].to_numpy(), t)))
-                p = part[~first]
-                if len(p) and members:
-                    if mem is None:
-                        mem = tuple(np.concatenate(x) for x in zip(*members))
-                    for a, b in search(*mem, _as_array(p["fp"], words), p["id"].to_numpy(), radius(p["size"].to_numpy(), t)):
-                        yield pd.DataFrame({"record_kind": k[0], "a": a, "b": b})
+                    out += close()
+                    key, held, members = k, [], None
+                if role[a] == BOTH:  # all rows of a small shard are
+                    held.append((fp[a:b], ids[a:b], r[a:b]))
+                    continue
+                # Members come before the visitors, so the visitors of a part are never held together.
+                m = a + int((role[a:b] == MEMBER).sum())
+                if m > a:
+                    members = (fp[a:m], ids[a:m], r[a:m]) if members is None else tuple(np.concatenate(x) for x in zip(members, (fp[a:m], ids[a:m], r[a:m])))
+                if m < b and members is not None:
+                    out += search(*members, fp[m:b], ids[m:b], r[m:b])
+            if out:
+                yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([x for _, x in out])})
+        out = close()
+        if out:
+            yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([x for _, x in out])})
 
     return run
 
@@ -281,26 +356,20 @@ def representative_pairs(sets: DataFrame, t: Fraction = THRESHOLD) -> tuple[Data
     reps = cut(reps.select("record_kind", "grp", "id", "size", "items"))
     stats = reps.agg(F.percentile_approx("size", 0.95).alias("p"), F.count(F.lit(1)).alias("n")).first()
     bits = 256
-    while bits < 4 * (stats["p"] or 1) and bits < 8192:
+    while bits < 4 * (stats["p"] or 1):
         bits *= 2
     trees: dict[str, dict] = {}
     for kind in ("gist", "slot"):
         pick = reps.where(F.col("record_kind") == kind).orderBy(F.xxhash64("id"), "id").limit(TREE_SAMPLE).select("size", "items").collect()
         if pick:
             fps = np.frombuffer(b"".join(fingerprint(np.array(x["items"], np.int64), bits) for x in pick), np.uint64)
-            trees[kind] = build_tree(fps.reshape(len(pick), -1), np.array([x["size"] for x in pick]), t, TREE_DEPTH)
-    counts = reps.groupBy("record_kind", "grp").agg(F.count(F.lit(1)).alias("n_group"))
-    routed = reps.join(counts, ["record_kind", "grp"]).mapInPandas(_router(trees, bits, t), SHARDED)
-    roles = F.explode(F.when(F.col("home"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))
-    order = ["record_kind", "grp", "shard"]
-    candidates = (
-        routed.withColumn("role", roles)
-        .repartition(shuffle_parts(spark), *order)
-        .sortWithinPartitions(*order, "role")
-        .mapInPandas(_shards(bits, t), "record_kind string, a long, b long")
-    )
-    side = lambda c: reps.select("record_kind", F.col("id").alias(c), F.col("items").alias(f"{c}_items"))
-    both = candidates.join(side("a"), ["record_kind", "a"]).join(side("b"), ["record_kind", "b"])
+            trees[kind] = build_tree(fps.reshape(len(pick), -1), np.array([x["size"] for x in pick]), t)
+    routed = reps.mapInPandas(_router(trees, frequent_elements(reps), bits, t, LEAF), SHARDED)
+    order = ["shard", "part"]
+    candidates = routed.repartition(shuffle_parts(spark), *order).sortWithinPartitions(*order, "role").mapInPandas(_shards(bits, t), "a long, b long").distinct()
+    side = lambda c: reps.select("record_kind", "grp", F.col("id").alias(c), F.col("items").alias(f"{c}_items"))
+    # ids of two kinds can be equal: what stands in one shard by chance is told apart here
+    both = candidates.join(side("a"), "a").join(side("b"), ["record_kind", "grp", "b"])
     shared = F.size(F.array_intersect("a_items", "b_items"))
     union = F.size("a_items") + F.size("b_items") - shared
     links = both.where(shared * t.denominator >= union * t.numerator).select("record_kind", "a", "b")
@@ -326,8 +395,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         near = both.join(labels.select("record_kind", F.col("id").alias("b"), "component"), ["record_kind", "b"])
         low = near.groupBy("record_kind", F.col("a").alias("id")).agg(F.min("component").alias("low"))
         step = labels.join(low, ["record_kind", "id"]).select("record_kind", "id", F.col("component").alias("was"), F.least("component", "low").alias("now"))
-        hop = step.select("record_kind", F.col("id").alias("now"), F.col("now").alias("next"))
-        new = cut(step.join(hop, ["record_kind", "now"]).select("record_kind", "id", "was", F.least("now", "next").alias("component")))
+        # a giant component has one label: its rows go to SALT tasks, each with a copy of what the label's own row says
+        hop = step.select("record_kind", F.col("id").alias("now"), F.col("now").alias("next"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        new = cut(step.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(hop, ["record_kind", "now", "salt"]).select("record_kind", "id", "was", F.least("now", "next").alias("component")))
         changed = new.where("component <> was").limit(1).count()
         labels = new.select("record_kind", "id", "component")
         if not changed:
