@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import WS, collapse, is_structural_break, sentences, word_count, words
+from folio.functions.text import WS, collapse, is_structural_break, let, sentences, word_count
 from folio.operators.fold import ordered_fold
 from folio.runtime import ship
 
@@ -22,17 +22,24 @@ BLANK = r"(\n[\x{0009}-\x{000D}\x{0020}]*\n+)"
 
 
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, para_idx, text (collapsed), char_offset, is_scene_break for blocks between blank lines."""
+    """key, para_idx, text (collapsed), char_offset, is_scene_break for blocks between blank lines. All on the document's
+    own row, by a fold over the lengths of its blocks: nothing is shuffled."""
+
+    def placed(p: Column) -> Column:
+        sizes = F.transform(p["blocks"], lambda b, i: (F.length(b) + F.coalesce(F.length(F.get(p["gaps"], i)), F.lit(0))).cast("long"))
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return let(
+            F.aggregate(sizes, zero, step, lambda acc: acc["out"]),
+            lambda starts: F.transform(p["blocks"], lambda b, i: F.struct(b.alias("block"), (F.get(starts, i) + F.length(b) - F.length(F.regexp_replace(b, "^" + WS + "+", ""))).alias("char_offset"))),
+        )
+
     t = F.col(text)
-    parts = F.arrays_zip(F.split(t, BLANK).alias("block"), F.regexp_extract_all(t, F.lit(BLANK), F.lit(1)).alias("gap"))
-    rows = docs.where(t.isNotNull()).select(key, F.posexplode(parts).alias("_i", "_p"))
-    w = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.length("_p.block") + F.coalesce(F.length("_p.gap"), F.lit(0))).over(w), F.lit(0))
-    lead = F.length("_p.block") - F.length(F.regexp_replace("_p.block", "^" + WS + "+", ""))
-    out = rows.select(key, "_i", F.col("_p.block").alias("_b"), (before + lead).cast("long").alias("char_offset")).where(F.col("_b").rlike("[^" + WS[1:]))
-    out = out.select(key, "_i", collapse(F.col("_b")).alias("text"), "char_offset")
-    idx = F.row_number().over(Window.partitionBy(key).orderBy("_i")) - 1
-    return out.select(key, idx.cast("long").alias("para_idx"), "text", "char_offset", is_structural_break(F.col("text")).alias("is_scene_break"))
+    parts = F.struct(F.split(t, BLANK).alias("blocks"), F.regexp_extract_all(t, F.lit(BLANK), F.lit(1)).alias("gaps"))
+    kept = F.filter(let(parts, placed), lambda x: x["block"].rlike("[^" + WS[1:]))
+    rows = docs.where(t.isNotNull()).select(key, F.posexplode(kept).alias("_i", "_p"))
+    rows = rows.select(key, F.col("_i").cast("long").alias("para_idx"), collapse(F.col("_p.block")).alias("text"), F.col("_p.char_offset").alias("char_offset"))
+    return rows.withColumn("is_scene_break", is_structural_break(F.col("text")))
 
 
 class _P(HTMLParser):
@@ -271,23 +278,22 @@ def seam_scores(units: DataFrame, key: str, order: str = "pos", vec: str = "vec"
 
 
 def word_spans(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Windows of ``size`` words with their exact source span: key, window_idx, start, end, n_words."""
-    ship(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        for pdf in batches:
-            rows = []
-            for k, t in zip(pdf[key], pdf["_t"]):
-                starts = [m.start() for m in re.finditer(r"\S+", t or "")]
-                for i in range(0, len(starts), size):
-                    nxt = i + size
-                    rows.append((k, i // size, starts[i], starts[nxt] if nxt < len(starts) else len(t), min(size, len(starts) - i)))
-            yield pd.DataFrame(rows, columns=[key, "window_idx", "start", "end", "n_words"])
-
-    return docs.select(key, F.col(text).alias("_t")).mapInPandas(run, f"{key} {kind}, window_idx long, start long, end long, n_words long")
+    """Windows of ``size`` words with their exact source span, up to the next window's first word or the text's end: key,
+    window_idx, start, end, n_words. The text is matched window by window, so that a window's length is that of its match."""
+    head = F.length(F.regexp_extract(F.col(text), f"^({WS}*)", 1))
+    rest = F.substring(F.col(text), head + 1, F.length(text))
+    run = F.regexp_extract_all(rest, F.lit(f"((?:[^{WS[1:]}+{WS}*){{1,{size}}})"), F.lit(1))
+
+    def spans(p: Column) -> Column:
+        zero = F.struct(p["head"].cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        step = lambda acc, w: F.struct((acc["at"] + F.length(w)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return let(
+            F.aggregate(p["run"], zero, step, lambda acc: acc["out"]),
+            lambda starts: F.transform(p["run"], lambda w, i: F.struct(F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(w)).alias("end"), word_count(w).alias("n_words"))),
+        )
+
+    rows = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(let(F.struct(head.alias("head"), run.alias("run")), spans)).alias("window_idx", "s"))
+    return rows.select(key, F.col("window_idx").cast("long").alias("window_idx"), "s.start", "s.end", "s.n_words")
 
 
 def truncate_at_paragraph(paras: DataFrame, n: int, key: str = "doc_id") -> DataFrame:

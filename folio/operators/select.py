@@ -31,9 +31,14 @@ def top_k(df: DataFrame, group: list[str], k: int, score: str = "score", item: s
 
 def adaptive_k(df: DataFrame, group: list[str], relative: float = 0.85, cap: int = 40, score: str = "score", item: str = "item_id") -> DataFrame:
     """Items within ``relative`` of the best score, at most ``cap``; only the best where that isn't positive."""
+    return adaptive_flag(df, group, relative, cap, score, item).where("kept").drop("kept")
+
+
+def adaptive_flag(df: DataFrame, group: list[str], relative: float = 0.85, cap: int = 40, score: str = "score", item: str = "item_id") -> DataFrame:
+    """Adds ``rank`` and ``kept``, whether ``adaptive_k`` takes the item."""
     top = F.max(score).over(Window.partitionBy(*group))
     out = ranked(df.withColumn("_top", top), group, score, item)
-    return out.where((F.col("rank") <= cap) & ((F.col("rank") == 1) | ((F.col("_top") > 0) & (F.col(score) >= F.col("_top") * relative)))).drop("_top")
+    return out.withColumn("kept", (F.col("rank") <= cap) & ((F.col("rank") == 1) | ((F.col("_top") > 0) & (F.col(score) >= F.col("_top") * relative)))).drop("_top")
 
 
 def threshold_or_top(df: DataFrame, group: list[str], tau: float, k: int, score: str = "score", item: str = "item_id") -> DataFrame:
@@ -82,6 +87,11 @@ def reciprocal_rank_fusion(rankings: DataFrame, group: list[str], k: int = 60, i
     return rankings.groupBy(*group, item).agg(F.sum(1.0 / (F.lit(float(k)) + F.col(rank))).alias("fused"))
 
 
+def fused_ranks(df: DataFrame, ranks: list[Column], k: int = 60) -> DataFrame:
+    """As ``reciprocal_rank_fusion`` where every item has all ranks, on the row itself: adds ``fused``."""
+    return df.withColumn("fused", sum((1.0 / (F.lit(float(k)) + r) for r in ranks[1:]), 1.0 / (F.lit(float(k)) + ranks[0])))
+
+
 def minmax(score: Column, group: list[str]) -> Column:
     """Score scaled to [0, 1] within the group; -Infinity gives 0, a flat group 0.5."""
     w = Window.partitionBy(*group)

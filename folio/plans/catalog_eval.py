@@ -442,7 +442,7 @@ def _(spark, d):
 @query("s03_written_and_read", "SELECT item_id, question, answer FROM eval_item")
 def _(spark, d):
     """Questions written as CSV to the shared folder and read back with their schema."""
-    from folio.streaming.replay import shared_folder
+    from folio.runtime import shared_folder
 
     path = shared_folder(spark, "questions")
     files.write_csv(read(spark, d, "eval_item", "item_id", "question", "answer"), path)
@@ -451,7 +451,7 @@ def _(spark, d):
 
 @query("s05_json_round_trip", "SELECT item_id, lang, passage FROM eval_item")
 def _(spark, d):
-    from folio.streaming.replay import shared_folder
+    from folio.runtime import shared_folder
 
     path = shared_folder(spark, "items")
     files.append_log(read(spark, d, "eval_item", "item_id", "lang", "passage"), path)

@@ -257,7 +257,7 @@ def _(spark, d):
     from folio.plans.catalog_vector import scored
 
     w = Window.partitionBy("query_id")
-    r = R.ranked(scored(spark, d).withColumn("top", F.max("score").over(w)), ["query_id"]).where("rank <= 40")
+    r = R.ranked(scored(spark, d, 0.75).withColumn("top", F.max("score").over(w)), ["query_id"]).where("rank <= 40")
     g = r.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in (0.75, 0.8, 0.85, 0.9, 0.95, 0.98)])))
     return g.where("rank = 1 or (top > 0 and score >= top * threshold)").groupBy("threshold").agg(F.count(F.lit(1)).alias("n_selected"))
 

@@ -212,7 +212,8 @@ def _(spark, d):
 def _sentence_units(spark, d):
     paras = S.paragraphs(docs(spark, d))
     rows = S.sentence_rows(paras, ["doc_id", "para_idx"])
-    return rows.withColumn("pos", F.col("para_idx") * 100000 + F.col("sent_idx")).withColumn("n_words", T.word_count(F.col("sentence")))
+    rows = rows.withColumn("pos", F.shiftleft("para_idx", 32) + F.col("sent_idx"))  # no paragraph has 2**32 sentences
+    return rows.withColumn("n_words", T.word_count(F.col("sentence")))
 
 
 @query("seg06_dialogue_groups")

@@ -21,13 +21,12 @@ RANKED = f"{SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_
 ADAPTIVE = f"{RANKED}, adaptive AS (SELECT * FROM ranked WHERE rank <= 40 AND (rank = 1 OR (top > 0 AND score >= top * 0.85)))"
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    """query_id, item_id, label, score."""
+def scored(spark: SparkSession, d: str, relative: float | None = None) -> DataFrame:
+    """query_id, item_id, label, score; only what can be within ``relative`` of the query's best score, if that is given."""
     e = read(spark, d, "embeddings", "vec_id", "embedding", "label")
-    items = e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
+    items = e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"), "label")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-    s = V.score_all(items, queries).where("query_id <> item_id")
-    return s.join(e.select(F.col("vec_id").alias("item_id"), "label"), "item_id").select("query_id", "item_id", "label", "score")
+    return V.score_all(items, queries, relative).where("query_id <> item_id").select("query_id", "item_id", "label", "score")
 
 
 def out(df: DataFrame, *cols: str) -> DataFrame:
@@ -84,13 +83,13 @@ def _(spark, d):
 
 @query("r03_adaptive_k", f"WITH {ADAPTIVE} SELECT query_id, item_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM adaptive")
 def _(spark, d):
-    return out(R.adaptive_k(scored(spark, d), ["query_id"]), "query_id", "item_id", "score", "rank")
+    return out(R.adaptive_k(scored(spark, d, 0.85), ["query_id"]), "query_id", "item_id", "score", "rank")
 
 
 @query("c08_rag_adaptive_k", f"WITH {ADAPTIVE} SELECT query_id, item_id, label, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM adaptive")
 def _(spark, d):
     """The retrieval baseline: everything scored, adaptive cut-off."""
-    return out(R.adaptive_k(scored(spark, d), ["query_id"]), "query_id", "item_id", "label", "score", "rank")
+    return out(R.adaptive_k(scored(spark, d, 0.85), ["query_id"]), "query_id", "item_id", "label", "score", "rank")
 
 
 _BUDGET = f"{SCORED}, b AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, item_id) AS rank, count(*) OVER (PARTITION BY query_id, label) AS n FROM scored), kept AS (SELECT *, rank <= greatest(1, ceil(round(0.3 * n, 9))) AS kept FROM b)"
@@ -111,10 +110,7 @@ def _(spark, d):
 
 @query("w07_neighbours", f"WITH {ADAPTIVE}, f AS (SELECT s.*, a.item_id IS NOT NULL AS kept FROM scored s LEFT JOIN adaptive a USING (query_id, item_id)), p AS (SELECT *, max(CAST(kept AS INT)) OVER (PARTITION BY query_id, label ORDER BY item_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS p FROM f) SELECT query_id, item_id, kept FROM p WHERE p = 1")
 def _(spark, d):
-    s = scored(spark, d)
-    kept = R.adaptive_k(s, ["query_id"]).select("query_id", "item_id", F.lit(True).alias("kept"))
-    f = s.join(kept, ["query_id", "item_id"], "left").fillna(False, ["kept"])
-    return out(R.pad(f, ["query_id", "label"], 2).where("padded"), "query_id", "item_id", "kept")
+    return out(R.pad(R.adaptive_flag(scored(spark, d), ["query_id"]), ["query_id", "label"], 2).where("padded"), "query_id", "item_id", "kept")
 
 
 @query("r06_threshold_or_top", f"WITH {RANKED} SELECT query_id, item_id, round(score, 6) AS score FROM ranked WHERE (rank <= 3 AND score >= 0.35) OR (rank = 1 AND score < 0.35)")
@@ -152,16 +148,15 @@ def _(spark, d):
 
 @query("r10_rank_fusion", f"WITH {RANKED}, r2 AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY item_id DESC) AS rank FROM scored), u AS (SELECT query_id, item_id, rank FROM ranked UNION ALL SELECT query_id, item_id, rank FROM r2) SELECT query_id, item_id, round(sum(1.0 / (60 + rank)), 6) AS fused FROM u GROUP BY query_id, item_id")
 def _(spark, d):
-    s = scored(spark, d)
-    other = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("item_id"))))
-    return out(R.reciprocal_rank_fusion(R.ranked(s, ["query_id"]).unionByName(other), ["query_id"]))
+    other = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("item_id")))
+    s = R.ranked(scored(spark, d), ["query_id"]).withColumn("other", other)
+    return out(R.fused_ranks(s, [F.col("rank"), F.col("other")]), "query_id", "item_id", "fused")
 
 
 @query("c16_combined_rank_fusion", f"WITH {RANKED}, r2 AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY item_id) AS rank FROM scored), u AS (SELECT query_id, item_id, rank FROM ranked UNION ALL SELECT query_id, item_id, rank FROM r2), f AS (SELECT query_id, item_id, round(sum(1.0 / (60 + rank)), 9) AS fused FROM u GROUP BY query_id, item_id) SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, item_id) AS BIGINT) AS rank FROM f QUALIFY rank <= 60")
 def _(spark, d):
-    s = scored(spark, d)
-    other = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("item_id")))
-    fused = R.reciprocal_rank_fusion(R.ranked(s, ["query_id"]).unionByName(other), ["query_id"]).withColumn("fused", F.round("fused", 9))
+    s = R.ranked(scored(spark, d), ["query_id"]).withColumn("other", F.row_number().over(Window.partitionBy("query_id").orderBy("item_id")))
+    fused = R.fused_ranks(s, [F.col("rank"), F.col("other")]).withColumn("fused", F.round("fused", 9)).drop("rank", "other")
     return out(R.top_k(fused, ["query_id"], 60, "fused"), "query_id", "item_id", "rank")
 
 
@@ -181,8 +176,7 @@ def _(spark, d):
 
 @query("r13_union_of_selections", f"WITH {ADAPTIVE} SELECT query_id, item_id FROM adaptive UNION SELECT query_id, item_id FROM ranked WHERE score >= 0.3")
 def _(spark, d):
-    s = scored(spark, d)
-    return R.adaptive_k(s, ["query_id"]).select("query_id", "item_id").unionByName(s.where("score >= 0.3").select("query_id", "item_id")).distinct()
+    return R.adaptive_flag(scored(spark, d), ["query_id"]).where("kept or score >= 0.3").select("query_id", "item_id")
 
 
 @query("r14_lookup_window")
@@ -194,8 +188,7 @@ def _(spark, d):
 
 @query("r15_targets_and_adaptive", f"WITH {ADAPTIVE}, u AS (SELECT query_id, item_id FROM adaptive UNION SELECT query_id, item_id FROM scored WHERE abs(item_id - query_id) <= 1) SELECT query_id, item_id FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY item_id) <= 40")
 def _(spark, d):
-    s = scored(spark, d)
-    u = R.adaptive_k(s, ["query_id"]).select("query_id", "item_id").unionByName(s.where("abs(item_id - query_id) <= 1").select("query_id", "item_id")).distinct()
+    u = R.adaptive_flag(scored(spark, d), ["query_id"]).where("kept or abs(item_id - query_id) <= 1").select("query_id", "item_id")
     w = Window.partitionBy("query_id").orderBy("item_id")
     return u.withColumn("r", F.row_number().over(w)).where("r <= 40").drop("r")
 
@@ -221,22 +214,25 @@ def _(spark, d):
 
 @query("c17_density_adaptive", f"WITH {_RATIO}, b AS (SELECT s.*, r.ratio, row_number() OVER (PARTITION BY s.query_id, s.label ORDER BY score DESC, item_id) AS rank, count(*) OVER (PARTITION BY s.query_id, s.label) AS n FROM scored s JOIN ratio r ON s.query_id = r.query_id AND s.label = r.label) SELECT query_id, item_id FROM b WHERE rank <= greatest(1, ceil(round(ratio * n, 9)))")
 def _(spark, d):
-    s = scored(spark, d).join(_ratios(spark, d).select("query_id", "label", "ratio"), ["query_id", "label"])
+    s = scored(spark, d).withColumn("spread", F.round(F.stddev_pop("score").over(Window.partitionBy("query_id", "label")), 10))
+    ratios = s.select("query_id", "label", "spread").distinct()  # the same exchange serves both uses of the scores
+    s = s.join(R.density_ratio(ratios, ["query_id"], "spread").select("query_id", "label", "ratio"), ["query_id", "label"])
     return R.ratio_budget(s, ["query_id", "label"], F.col("ratio")).where("kept").select("query_id", "item_id")
 
 
 @query("c12_query_aware", f"WITH {_THREADS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank, max(score) OVER (PARTITION BY query_id) AS top FROM t), c AS (SELECT query_id, item_id AS label FROM r WHERE rank <= 40 AND (rank = 1 OR (top > 0 AND score >= top * 0.85))), i AS (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, item_id) AS rank, max(score) OVER (PARTITION BY s.query_id) AS top FROM scored s JOIN c ON s.query_id = c.query_id AND s.label = c.label) SELECT query_id, item_id FROM i WHERE rank <= 60 AND (rank = 1 OR (top > 0 AND score >= top * 0.85))")
 def _(spark, d):
-    s = scored(spark, d)
-    kept = R.adaptive_k(_threads(spark, d), ["query_id"]).select("query_id", F.col("item_id").alias("label"))
-    inner = s.withColumn("label", F.col("label").cast("long")).join(kept, ["query_id", "label"], "left_semi")
-    return R.adaptive_k(inner, ["query_id"], cap=60).select("query_id", "item_id")
+    """One scoring pass: an item within the share of the best belongs to a document within it, so the rest is left out."""
+    q = Window.partitionBy("query_id")
+    s = scored(spark, d, 0.85).withColumn("top", F.max("score").over(q)).withColumn("best", F.max("score").over(Window.partitionBy("query_id", "label")))
+    s = s.withColumn("place", F.dense_rank().over(q.orderBy(F.desc("best"), "label"))).where("place <= 40 and (place = 1 or (top > 0 and best >= top * 0.85))")
+    return R.adaptive_k(s, ["query_id"], cap=60).select("query_id", "item_id")
 
 
 @query("c09_select_then_text", f"WITH {ADAPTIVE} SELECT query_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM adaptive GROUP BY query_id")
 def _(spark, d):
     """Selected items in source order; the gist and hybrid conditions differ only in the text that is joined to them."""
-    a = R.adaptive_k(scored(spark, d), ["query_id"])
+    a = R.adaptive_k(scored(spark, d, 0.85), ["query_id"])
     return a.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("item_id")).cast("array<string>"), ",").alias("items"))
 
 
@@ -257,9 +253,7 @@ def _(spark, d):
 
 @query("c22_query_aware_windowed", f"WITH {ADAPTIVE}, f AS (SELECT s.*, a.item_id IS NOT NULL AS kept FROM scored s LEFT JOIN adaptive a USING (query_id, item_id)), p AS (SELECT *, max(CAST(kept AS INT)) OVER (PARTITION BY query_id, label ORDER BY item_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS p FROM f) SELECT query_id, item_id FROM p WHERE p = 1")
 def _(spark, d):
-    s = scored(spark, d)
-    kept = R.adaptive_k(s, ["query_id"]).select("query_id", "item_id", F.lit(True).alias("kept"))
-    return R.pad(s.join(kept, ["query_id", "item_id"], "left").fillna(False, ["kept"]), ["query_id", "label"], 1).where("padded").select("query_id", "item_id")
+    return R.pad(R.adaptive_flag(scored(spark, d), ["query_id"]), ["query_id", "label"], 1).where("padded").select("query_id", "item_id")
 
 
 @query("seg09_seam_scores", f"WITH o AS (SELECT vec_id, label, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings) SELECT label, vec_id, round(round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(nxt AS DOUBLE[])), 10), 6) AS seam FROM o")

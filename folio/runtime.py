@@ -7,12 +7,15 @@ import os
 import shutil
 import tempfile
 import threading
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCK = threading.Lock()
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -45,23 +48,46 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+def shared_base(spark: SparkSession) -> str:
+    """The folder that all executors see: the one the cluster names in ``spark.checkpoint.dir``. Only a local session,
+    as in tests, gets one of its own, which goes when the program ends; elsewhere it is an error to name none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    with _LOCK:
+        if "base" not in _LOCAL:
+            _LOCAL["base"] = tempfile.mkdtemp(prefix="folio-shared-")
+            atexit.register(shutil.rmtree, _LOCAL["base"], True)
+    return _LOCAL["base"]
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests)
-    a folder is made here. Never ``localCheckpoint``: executors may be lost.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and drop its lineage. Never ``localCheckpoint``: executors may be lost.
+    Spark removes the files with the DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="folio-checkpoint-")
-            atexit.register(shutil.rmtree, folder, True)
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one; ``release`` removes it."""
+    path = f"{shared_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Removes the folders that ``shared_folder`` made so far, once their tables have been read; how many."""
+    n = 0
+    while _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def shuffle_parts(spark: SparkSession, least: int = 12) -> int:
     """The session's shuffle width, at least ``least``."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import os
 import pickle
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,13 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.runtime import ship
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors see: under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folio-stream-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}") if "://" not in base else f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from folio.runtime import shared_folder, ship
 
 
 def _threads(tau: float):
