@@ -38,6 +38,22 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+#: A run of letters, figures and combining marks, or any other single sign that is no white space.
+PIECE = r"[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]"
+
+
+def token_count(text: Column) -> Column:
+    """Tokens of the default tokenizer: words and single signs. Another count can be passed wherever this one is used."""
+    return F.size(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))).cast("long")
+
+
+def label_lines(reply: Column) -> Column:
+    """array<struct<idx, label>> of the lines ``[i]: label`` or ``i. label`` of a reply, in order."""
+    pattern = r"^\s*\[?(\d+)\]?\s*[:.]\s*(.+)"
+    lines = F.transform(F.split(reply, "\n"), lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("idx"), strip(F.regexp_extract(x, pattern, 2)).alias("label")))
+    return F.transform(F.filter(lines, lambda x: (x["idx"] != "") & (x["label"] != "")), lambda x: F.struct(x["idx"].cast("long").alias("idx"), x["label"].alias("label")))
+
+
 def collapse(text: Column) -> Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, WS + "+", " "))

@@ -46,6 +46,16 @@ def with_row_number(df: DataFrame, order: list[str], name: str = "_rn") -> DataF
     return ranged.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_in")).drop("_part", "_in", "_base")
 
 
+def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before: sums per range partition first, then within."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    ranged = ranged.withColumn("_in", F.coalesce(own, F.lit(0)))
+    base = ranged.groupBy("_part").agg(F.sum(value).alias("_m"))
+    base = base.withColumn("_base", F.coalesce(F.sum("_m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")  # a row a partition
+    return ranged.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_in")).drop("_part", "_in", "_base")
+
+
 def concat_offsets(df: DataFrame, group: list[str], order: str, text: str, separator: int) -> DataFrame:
     """Adds ``offset``: where each text begins if the group's texts are joined by a separator of that length."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -149,6 +159,14 @@ def bisect_fraction(df: DataFrame, group: str, score: str, label: str, target: f
     return cum.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(group, "fraction", "rate")
 
 
+def balanced(df: DataFrame, group: str, label: str, key: str, rate: float) -> DataFrame:
+    """All positives of each group and as many negatives, in the order of a hash of their key, as make positives the
+    share ``rate``; all rows of a group that has more positives already."""
+    w = Window.partitionBy(group)
+    out = df.withColumn("_pos", F.sum(label).over(w)).withColumn("_r", F.row_number().over(Window.partitionBy(group, label).orderBy(F.md5(F.col(key).cast("string")), key)))
+    return out.where((F.col(label) == 1) | (F.col("_r") <= F.floor(F.col("_pos") * F.lit((1 - rate) / rate)))).drop("_pos", "_r")
+
+
 def bounded_words(df: DataFrame, text: str, least: int) -> DataFrame:
     """Rows of at least ``least`` words."""
     return df.where(word_count(F.col(text)) >= least)

@@ -167,6 +167,33 @@ def dialogue_groups(sents: DataFrame, key: list[str], max_words: int = 120) -> D
     return ordered_fold(rows, key, ["sent_idx"], lambda: _Groups(max_words), "group_idx long, first_sent long, last_sent long, n_words long")
 
 
+def semantic_units(paras: DataFrame, max_words: int = 120, key: str = "doc_id") -> DataFrame:
+    """Units - sentences, or sentences that one quotation holds together - of paragraphs (key, para_idx, text, char_offset,
+    is_scene_break): key, unit_idx, paragraph_index, sentence_start and sentence_end (counted over the document),
+    n_items, word_count, is_scene_break, char_offset (of its first sentence), text. A sentence that forward search can't
+    find again stands where the search had come to."""
+    one = F.when(F.col("is_scene_break"), F.array("text")).otherwise(sentences(F.col("text")))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,sentence:string>>").alias("out"))
+
+    def step(acc, s):
+        i = F.call_function("locate", s, F.col("text"), (acc["at"] + 1).cast("int")).cast("long") - 1
+        start = F.when(i < 0, acc["at"]).otherwise(i)
+        return F.struct(F.when(i < 0, acc["at"]).otherwise(i + F.length(s)).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), s.alias("sentence")))).alias("out"))
+
+    sents = paras.select(key, "para_idx", "is_scene_break", "char_offset", F.posexplode(F.aggregate(one, zero, step, lambda acc: acc["out"])).alias("sent_idx", "s"))
+    sents = sents.select(key, "para_idx", "is_scene_break", F.col("sent_idx").cast("long").alias("sent_idx"), (F.col("char_offset") + F.col("s.start")).alias("at"), F.col("s.sentence").alias("sentence"))
+    groups = dialogue_groups(sents, [key, "para_idx"], max_words).withColumn("sent_idx", F.explode(F.sequence("first_sent", "last_sent")))
+    lines = groups.join(sents, [key, "para_idx", "sent_idx"])
+    units = lines.groupBy(key, "para_idx", "group_idx").agg(
+        F.count(F.lit(1)).alias("n_items"), F.first("n_words").alias("word_count"), F.first("is_scene_break").alias("is_scene_break"), F.min("at").alias("char_offset"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "sentence"))), lambda x: x["sentence"]), " ").alias("text"),
+    )
+    w = Window.partitionBy(key).orderBy("para_idx", "group_idx")
+    end = F.sum("n_items").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    units = units.withColumn("unit_idx", (F.row_number().over(w) - 1).cast("long")).withColumn("sentence_end", end)
+    return units.select(key, "unit_idx", F.col("para_idx").alias("paragraph_index"), (F.col("sentence_end") - F.col("n_items") + 1).alias("sentence_start"), "sentence_end", "n_items", "word_count", "is_scene_break", "char_offset", "text")
+
+
 class _Pages:
     """Pagination by word counts: flush when at least ``low`` words are held and the next unit would go beyond
     ``high``; a scene break closes its chunk."""

@@ -18,23 +18,11 @@ def sized(spark, d):
     return docs(spark, d, "doc_slug").select(F.col("doc_slug").alias("key"), F.col("doc_id").alias("pos"), T.word_count(F.col("text")).alias("n_words"))
 
 
-@query("r20_greedy_band")
-def _(spark, d):
-    """One selection of 500 to 900 words for each whole work, its longest documents first."""
-    s = sized(spark, d).where("key is not null").withColumn("o", -F.col("n_words"))
-    return C.band(s, "key", ["o", "pos"], 500, 900).select("key", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "n_words")
-
-
 @query("r21_deal")
 def _(spark, d):
     return C.deal(sized(spark, d).where("key is not null"), "key", 4, 400, 1200)
 
 
-@query("r22_pack")
-def _(spark, d):
-    return C.pack(sized(spark, d).where("key is not null"), "key", 400, 1200)
-
-
 @query("r23_bisect_fraction")
 def _(spark, d):
     h = read(spark, d, "hit", "hit_id", "doc_key", "score", "chunk_idx").groupBy("hit_id").agg(F.max("doc_key").alias("doc_key"), F.max("score").alias("score"), F.max("chunk_idx").alias("c")).where("score is not null and doc_key is not null")
@@ -97,13 +85,6 @@ def _(spark, d):
     return g.select("doc_key", "chunk_idx", F.coalesce(F.lag("text").over(Window.partitionBy("doc_key").orderBy("chunk_idx")), F.lit("")).alias("previous_summary"), F.col("text").alias("target_text"))
 
 
-@query("t16_positive_rate", "WITH h AS (SELECT hit_id, max(doc_key) AS k, CASE WHEN max(chunk_idx) % 5 = 0 THEN 1.0 ELSE 0.0 END AS y FROM hit GROUP BY hit_id) SELECT k AS doc_key, round(avg(y), 6) AS rate, CAST(count(*) AS BIGINT) AS n FROM h GROUP BY k")
-def _(spark, d):
-    h = read(spark, d, "hit", "hit_id", "doc_key", "chunk_idx").groupBy("hit_id").agg(F.max("doc_key").alias("doc_key"), F.max("chunk_idx").alias("c"))
-    y = F.when(F.col("c") % 5 == 0, 1.0).otherwise(0.0)
-    return h.groupBy("doc_key").agg(F.round(F.avg(y), 6).alias("rate"), F.count(F.lit(1)).alias("n"))
-
-
 @query("t17_survival", f"WITH c AS (SELECT doc_id, chunk_idx, {SENTENCES('max(text)')} AS s FROM chunk GROUP BY ALL), e AS (SELECT doc_id, chunk_idx, unnest(s) AS sentence, unnest(range(len(s))) AS i, len(s) AS n FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_idx ORDER BY length(sentence) DESC, i) <= greatest(1, ceil(round(0.5 * n, 9))) AS kept FROM e) SELECT CAST(count(*) AS BIGINT) AS n_evidence, CAST(sum(CASE WHEN kept THEN 1 ELSE 0 END) AS BIGINT) AS n_kept FROM k WHERE regexp_matches(sentence, '(^|[^0-9])1[0-9]{{3}}([^0-9]|$)')")
 def _(spark, d):
     """Evidence sentences, those with a year, that a length-scored half of their chunk keeps."""
@@ -176,37 +157,6 @@ def _(spark, d):
     return read(spark, d, "eval_item", "item_id", "passage", "question").select("item_id", F.concat(F.lit("Context: "), "passage", F.lit("\nQuestion: "), "question").alias("prompt"))
 
 
-@query("c25_map_and_context", f"WITH c AS (SELECT doc_id, chunk_idx, {WORDS('max(text)')} AS w FROM chunk GROUP BY ALL) SELECT doc_id, string_agg('[' || chunk_idx || '] ' || array_to_string(w[1:15], ' ') || CASE WHEN len(w) > 15 THEN '...' ELSE '' END, chr(10) ORDER BY chunk_idx) AS map FROM c GROUP BY doc_id")
-def _(spark, d):
-    c = read(spark, d, "chunk", "doc_id", "chunk_idx", "text").groupBy("doc_id", "chunk_idx").agg(F.max("text").alias("text"))
-    line = F.concat(F.lit("["), F.col("chunk_idx").cast("string"), F.lit("] "), T.truncate_words(F.col("text"), 15, "..."))
-    return c.select("doc_id", "chunk_idx", line.alias("line")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "line"))), lambda x: x["line"]), "\n").alias("map"))
-
-
-def _lookup(spark, d, extra):
-    """Gist map, the injected model's LOOKUP reply (here from the first numbers of the question), windows of chunks."""
-    g = read(spark, d, "teacher_gists_anticollapse_wiki20_pilot", "doc_key", "chunk_idx").where("doc_key is not null and chunk_idx is not null").groupBy("doc_key").agg(F.max("chunk_idx").cast("long").alias("highest"))
-    s = read(spark, d, "memory_slot", "slot_id", "doc_key", "origin_indices").groupBy("slot_id").agg(F.max("doc_key").alias("doc_key"), F.max("origin_indices").alias("o")).where("o is not null")
-    reply = F.concat(F.lit("LOOKUP: "), F.array_join(F.transform(F.filter("o", lambda x: x.isNotNull()), lambda x: (x % 60).cast("string")), ", "))
-    j = s.join(g, "doc_key").select("slot_id", "doc_key", T.lookup_targets(reply, F.col("highest")).alias("t"), "highest").where("t is not null")
-    return j.select("slot_id", "doc_key", F.array_join(R.lookup_window(extra(F.col("t")), F.col("highest")).cast("array<string>"), ",").alias("chunks"))
-
-
-@query("c05_lookup")
-def _(spark, d):
-    return _lookup(spark, d, lambda t: t)
-
-
-@query("c06_lookup_retrieval")
-def _(spark, d):
-    return _lookup(spark, d, lambda t: F.array_distinct(F.flatten(F.transform(t, lambda x: F.array(x, x + 7)))))
-
-
-@query("c07_lookup_adaptive")
-def _(spark, d):
-    return _lookup(spark, d, lambda t: F.array_union(t, F.array(F.lit(0).cast("long"))))
-
-
 def _gist_scores(spark, d):
     """Gists scored against the gists whose id is divisible by 100, by hashed word vectors."""
     from folio.functions.vector import score_all
@@ -230,13 +180,6 @@ def _(spark, d):
     return a.join(raw, "item_id").select("query_id", "item_id", "text")
 
 
-@query("c14_structural_map", f"WITH g AS (SELECT gist_id, max(doc_key) AS doc_key, max(chunk_idx) AS chunk_idx, {WORDS('max(text)')} AS w FROM teacher_gists_anticollapse_wiki20_pilot GROUP BY gist_id HAVING max(text) IS NOT NULL AND max(doc_key) IS NOT NULL) SELECT doc_key, string_agg('[' || chunk_idx || '] ' || array_to_string(w[1:6], ' '), chr(10) ORDER BY chunk_idx, gist_id) AS map FROM g GROUP BY doc_key")
-def _(spark, d):
-    g = read(spark, d, "teacher_gists_anticollapse_wiki20_pilot", "gist_id", "doc_key", "chunk_idx", "text").groupBy("gist_id").agg(F.max("doc_key").alias("doc_key"), F.max("chunk_idx").alias("chunk_idx"), F.max("text").alias("text")).where("text is not null and doc_key is not null")
-    line = F.concat(F.lit("["), F.col("chunk_idx").cast("string"), F.lit("] "), T.truncate_words(F.col("text"), 6))
-    return g.groupBy("doc_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "gist_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("map"))
-
-
 @query("c26_seam_outcomes")
 def _(spark, d):
     """Outcome of the sweep's questions joined to seam exposure: mean severity of right and wrong ones. The tables own no
@@ -296,12 +239,3 @@ def _(spark, d):
     register(spark)
     read(spark, d, "eval_item", "item_id", "passage").createOrReplaceTempView("folio_items")
     return spark.sql("SELECT item_id, CAST(size(folio_words(passage)) AS BIGINT) AS n_words, CAST(count(*) AS BIGINT) AS n_windows FROM folio_items, LATERAL folio_word_windows(passage, 10) GROUP BY item_id, passage")
-
-
-@query("s10_links")
-def _(spark, d):
-    """Distinct link targets of pages made of the documents, with the first page that has them."""
-    from folio.operators.segment import links
-
-    page = F.concat(F.lit("<a href='/"), F.coalesce("source", F.lit("none")), F.lit("'>x</a><a class=k href=\"#top\">[y]</a>"))
-    return links(read(spark, d, "documents", "doc_id", "source").select("doc_id", page.alias("html")), "doc_id", "html", "^/")

@@ -112,16 +112,6 @@ def _(spark, d):
     return rounded(p.groupBy(F.col("pos").cast("long").alias("pos")).agg(F.avg("acc").alias("accuracy"), F.count(F.lit(1)).alias("n")))
 
 
-@query("a16_retention_by_age")
-def _(spark, d):
-    """Answers of a document's items, probed in every later state of its pairs, however old."""
-    p = read(spark, d, "stage2_pair", "pair_id", "doc_key", "chunk_position", "chunk_text", "target_text").groupBy("pair_id").agg(*[F.max(c).alias(c) for c in ("doc_key", "chunk_position", "chunk_text", "target_text")]).where("doc_key is not null")
-    probes = p.where("chunk_text is not null").select(F.col("doc_key").alias("key"), F.col("chunk_position").alias("source"), F.regexp_extract("chunk_text", r"(\S+ \S+)", 1).alias("answer"))
-    states = p.where("target_text is not null").select(F.col("doc_key").alias("key"), F.col("chunk_position").alias("pos"), F.col("target_text").alias("text"))
-    near = states.groupBy("key", "pos").agg(F.max("text").alias("text"))
-    return rounded(E.retention_by_age(probes.groupBy("key", "source").agg(F.max("answer").alias("answer")), near))
-
-
 _CONF = "c AS (SELECT result_id, CASE WHEN max(CAST(correct AS INT)) = 1 THEN 1 ELSE 0 END AS y, CASE WHEN max(CAST(lookup_used AS INT)) = 1 THEN 1 ELSE 0 END AS p FROM qa_stage2_adaptive_threshold_sweep_ratio0chk GROUP BY result_id), k AS (SELECT CAST(sum(y*p) AS BIGINT) AS tp, CAST(sum((1-y)*p) AS BIGINT) AS fp, CAST(sum(y*(1-p)) AS BIGINT) AS fn, CAST(sum((1-y)*(1-p)) AS BIGINT) AS tn, CAST(count(*) AS BIGINT) AS n FROM c)"
 
 
@@ -179,31 +169,6 @@ def _(spark, d):
     return w.agg(F.count(F.lit(1)).alias("n"), s((F.col("a") == 0) & (F.col("b") == 1)).alias("recovered"), s((F.col("a") == 0) & (F.col("b") == 0)).alias("still_wrong"))
 
 
-@query("a26_mann_whitney", f"WITH {QA_SQL}, v AS (SELECT elapsed_seconds AS v, correct AS g FROM qa WHERE elapsed_seconds IS NOT NULL AND correct IS NOT NULL), r AS (SELECT g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM v), t AS (SELECT sum(CASE WHEN g THEN r ELSE 0 END) AS ra, sum(CASE WHEN g THEN 1 ELSE 0 END) AS na, count(*) AS n FROM r) SELECT round(CAST(ra - na * (na + 1) / 2 AS DOUBLE), 6) AS u, CAST(na AS BIGINT) AS n_first, CAST(n - na AS BIGINT) AS n_rest FROM t")
-def _(spark, d):
-    u = E.mann_whitney(qa(spark, d), "elapsed_seconds", "correct", True)
-    return u.select(F.round(F.col("u").cast("double"), 6).alias("u"), F.col("n_first").cast("long").alias("n_first"), F.col("n_rest").cast("long").alias("n_rest"))
-
-
-@query("a27_collapse_stats", "WITH p AS (SELECT pair_id, max(target_text) AS t, max(previous_summary) AS s FROM stage2_pair GROUP BY pair_id) SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN t = s THEN 1 ELSE 0 END) AS BIGINT) AS collapsed FROM p WHERE t IS NOT NULL AND coalesce(s, '') <> ''")
-def _(spark, d):
-    p = read(spark, d, "stage2_pair", "pair_id", "target_text", "previous_summary").groupBy("pair_id").agg(F.max("target_text").alias("t"), F.max("previous_summary").alias("s"))
-    return p.where("t is not null and coalesce(s, '') <> ''").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("t") == F.col("s")).cast("long")).alias("collapsed"))
-
-
-@query("a28_survival_sets", f"WITH {QA_SQL} SELECT coalesce(genre, 'POOLED') AS genre, threshold, round(avg(CAST(correct AS DOUBLE)), 6) AS survival FROM qa WHERE threshold IS NOT NULL GROUP BY GROUPING SETS ((genre, threshold), (threshold))")
-def _(spark, d):
-    q = qa(spark, d).where("threshold is not null").withColumn("c", F.col("correct").cast("double"))
-    s = q.groupingSets([[F.col("genre"), F.col("threshold")], [F.col("threshold")]], "genre", "threshold").agg(F.avg("c").alias("survival"))
-    return rounded(s.withColumn("genre", F.coalesce("genre", F.lit("POOLED"))))
-
-
-@query("a29_growth", "WITH p AS (SELECT pair_id, max(chunk_position) AS pos, max(target_text) AS t FROM stage2_pair GROUP BY pair_id) SELECT CAST(pos AS BIGINT) AS pos, round(avg(length(t)), 6) AS mean_chars FROM p WHERE t IS NOT NULL GROUP BY pos")
-def _(spark, d):
-    p = read(spark, d, "stage2_pair", "pair_id", "chunk_position", "target_text").groupBy("pair_id").agg(F.max("chunk_position").alias("pos"), F.max("target_text").alias("t")).where("t is not null")
-    return rounded(p.groupBy(F.col("pos").cast("long").alias("pos")).agg(F.avg(F.length("t")).alias("mean_chars")))
-
-
 @query("a30_memory_stats", "WITH m AS (SELECT slot_id, max(doc_key) AS doc_key, max(revisions) AS r, max(merges) AS g, max(origin_indices) AS o FROM memory_slot GROUP BY slot_id) SELECT doc_key, CAST(count(*) AS BIGINT) AS n_slots, CAST(sum(r) AS BIGINT) AS revisions, CAST(sum(g) AS BIGINT) AS merges, round(avg(coalesce(len(o), 0)), 6) AS mean_origins FROM m GROUP BY doc_key")
 def _(spark, d):
     m = read(spark, d, "memory_slot", "slot_id", "doc_key", "revisions", "merges", "origin_indices").groupBy("slot_id").agg(*[F.max(c).alias(c) for c in ("doc_key", "revisions", "merges", "origin_indices")])
@@ -330,11 +295,6 @@ def _(spark, d):
     return h.intersect(m).select(F.lit("both").alias("kind"), "doc_key").unionByName(h.subtract(m).select(F.lit("hit_only").alias("kind"), "doc_key"))
 
 
-@query("u03_left_over", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
-def _(spark, d):
-    return read(spark, d, "part", "p_partkey").join(read(spark, d, "lineitem", F.col("l_partkey").alias("p_partkey")).distinct(), "p_partkey", "left_anti")
-
-
 @query("u04_first_wins", "SELECT doc_slug, doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY doc_slug ORDER BY doc_id) = 1")
 def _(spark, d):
     from folio.operators.corpus import first_of_each

@@ -19,20 +19,6 @@ def rows(spark, d):
     return read(spark, d, "embeddings", "vec_id", "embedding", "label").select(F.col("label").cast("long").alias("key"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
 
 
-@query("m01_anchor_clusters")
-def _(spark, d):
-    return M.anchor_clusters(rows(spark, d), 0.2)
-
-
-@query("m01_streaming_threads")
-def _(spark, d):
-    """The same threads from a file stream."""
-    from folio.streaming import replay as S
-
-    st = S.file_stream(spark, f"{d}/embeddings.parquet").select(F.col("label").cast("long").alias("key"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
-    return S.run_to_table(S.stream_threads(st, 0.2), "threads")
-
-
 @query("m00_streaming_windows", "SELECT date_trunc('hour', ts) AS hour, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def _(spark, d):
     from folio.streaming import replay as S

@@ -202,13 +202,6 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_idx", "sentence")).withColumn("sent_idx", F.col("sent_idx").cast("long"))
 
 
-@query("seg05_sentence_spans")
-def _(spark, d):
-    """Spans by forward search, on paragraphs, whose white space is normal."""
-    p = read(spark, d, "paragraph", "doc_id", "para_idx", "text").groupBy("doc_id", "para_idx").agg(F.max("text").alias("text"))
-    return p.select("doc_id", "para_idx", F.explode(T.sentence_spans(F.col("text"))).alias("s")).select("doc_id", "para_idx", "s.start", "s.end", "s.sentence")
-
-
 def _sentence_units(spark, d):
     paras = S.paragraphs(docs(spark, d))
     rows = S.sentence_rows(paras, ["doc_id", "para_idx"])
@@ -216,22 +209,6 @@ def _sentence_units(spark, d):
     return rows.withColumn("n_words", T.word_count(F.col("sentence")))
 
 
-@query("seg06_dialogue_groups")
-def _(spark, d):
-    return S.dialogue_groups(S.sentence_rows(S.paragraphs(docs(spark, d)), ["doc_id", "para_idx"]), ["doc_id", "para_idx"])
-
-
-@query("seg07_paginate_words")
-def _(spark, d):
-    return S.paginate_words(_sentence_units(spark, d))
-
-
-@query("seg08_semantic_units", "SELECT doc_id, unit_idx, CAST(len(array_to_string(max(list_transform(items, lambda x: x.sentence)), ' ')) AS BIGINT) AS n_chars, CAST(len(max(items)) AS BIGINT) AS n_items FROM semantic_unit GROUP BY doc_id, unit_idx")
-def _(spark, d):
-    u = read(spark, d, "semantic_unit", "doc_id", "unit_idx", "items").groupBy("doc_id", "unit_idx").agg(F.max("items").alias("items"))
-    return u.select("doc_id", "unit_idx", F.length(F.array_join("items.sentence", " ")).cast("long").alias("n_chars"), F.when(F.col("items").isNotNull(), F.size("items")).cast("long").alias("n_items"))
-
-
 @query("seg10_paginate_semantic")
 def _(spark, d):
     """Chunks of the stored units, cut at the weakest seam between hashed word vectors."""
@@ -244,11 +221,6 @@ def _(spark, d):
     return S.paginate_semantic(S.seam_scores(units, "doc_id").select("doc_id", "pos", "n_words", "is_scene_break", "seam"))
 
 
-@query("seg13_word_spans")
-def _(spark, d):
-    return S.word_spans(docs(spark, d), 200)
-
-
 @query("seg14_word_windows", f"WITH w AS (SELECT doc_id, {WORDS('text')} AS w FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, w, unnest(range(CAST(ceil(len(w) / 120.0) AS BIGINT))) AS k FROM w) SELECT doc_id, CAST(k AS BIGINT) AS window_idx, array_to_string(w[k*120+1:k*120+120], ' ') AS words FROM k")
 def _(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(T.word_windows(F.col("text"), 120)).alias("window_idx", "words")).withColumn("window_idx", F.col("window_idx").cast("long"))
@@ -272,11 +244,6 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", T.strip_boilerplate(F.concat(F.lit("licence\n*** START OF BOOK ***\n"), t, F.lit("\n*** END OF BOOK ***\nmore"))).alias("body"))
 
 
-@query("seg18_chunk_runs")
-def _(spark, d):
-    return S.chunk_runs(read(spark, d, "chunk", "doc_id", "chunk_idx").distinct(), "doc_id", "chunk_idx", 3, 2)
-
-
 @query("seg02_html_paragraphs")
 def _(spark, d):
     """Paragraphs of the texts as simple pages."""
@@ -359,14 +326,6 @@ def _(spark, d):
     return e.select("item_id", F.explode(T.qa_lines(reply)).alias("p")).select("item_id", "p.q", "p.a")
 
 
-@query("f18_label_lines", f"WITH c AS (SELECT doc_id, chunk_idx, max(text) AS text FROM chunk GROUP BY ALL) SELECT doc_id, chunk_idx, array_to_string(({WORDS('text')})[1:6], ' ') AS label FROM c")
-def _(spark, d):
-    """Labels from ``[i]: label`` lines; here no chunk has one, so each gets its first six words."""
-    c = read(spark, d, "chunk", "doc_id", "chunk_idx", "text").groupBy("doc_id", "chunk_idx").agg(F.max("text").alias("text"))
-    label = F.regexp_extract(F.lit("none"), r"^\s*\[?(\d+)\]?\s*[:.]\s*(.+)$", 2)
-    return c.select("doc_id", "chunk_idx", F.coalesce(F.nullif(label, F.lit("")), T.truncate_words(F.col("text"), 6)).alias("label"))
-
-
 @query("f13_min_sentences", f"SELECT doc_id, CAST(len({SENTENCES('text')}) AS BIGINT) AS n FROM documents WHERE len({SENTENCES('text')}) >= 2")
 def _(spark, d):
     return docs(spark, d).select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n")).where("n >= 2")

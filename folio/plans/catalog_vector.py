@@ -179,13 +179,6 @@ def _(spark, d):
     return R.adaptive_flag(scored(spark, d), ["query_id"]).where("kept or score >= 0.3").select("query_id", "item_id")
 
 
-@query("r14_lookup_window")
-def _(spark, d):
-    m = read(spark, d, "memory_slot", "slot_id", "origin_indices").groupBy("slot_id").agg(F.max("origin_indices").alias("o")).where("o is not null")
-    t = F.transform(F.filter("o", lambda x: x.isNotNull()), lambda x: x.cast("long"))
-    return m.select("slot_id", F.array_join(R.lookup_window(t, F.lit(20000).cast("long")).cast("array<string>"), ",").alias("kept"))
-
-
 @query("r15_targets_and_adaptive", f"WITH {ADAPTIVE}, u AS (SELECT query_id, item_id FROM adaptive UNION SELECT query_id, item_id FROM scored WHERE abs(item_id - query_id) <= 1) SELECT query_id, item_id FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY item_id) <= 40")
 def _(spark, d):
     u = R.adaptive_flag(scored(spark, d), ["query_id"]).where("kept or abs(item_id - query_id) <= 1").select("query_id", "item_id")
@@ -236,21 +229,6 @@ def _(spark, d):
     return a.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("item_id")).cast("array<string>"), ",").alias("items"))
 
 
-@query("c15_dependent_ratio", f"WITH {SCORED}, n AS (SELECT query_id, label, count(*) AS n, least(1.0, 12.0 / count(*)) AS ratio FROM scored GROUP BY query_id, label), b AS (SELECT s.*, n.ratio, n.n, row_number() OVER (PARTITION BY s.query_id, s.label ORDER BY score DESC, item_id) AS rank FROM scored s JOIN n ON s.query_id = n.query_id AND s.label = n.label) SELECT query_id, item_id FROM b WHERE rank <= greatest(1, ceil(round(ratio * n, 9)))")
-def _(spark, d):
-    s = scored(spark, d)
-    n = F.count(F.lit(1)).over(Window.partitionBy("query_id", "label"))
-    s = s.withColumn("ratio", F.least(F.lit(1.0), F.lit(12.0) / n))
-    return R.ratio_budget(s, ["query_id", "label"], F.col("ratio")).where("kept").select("query_id", "item_id")
-
-
-@query("c18_final_selection", f"WITH {_PADDED} SELECT query_id, item_id FROM padded WHERE padded AND label % 2 = 0 UNION ALL SELECT query_id, item_id FROM padded WHERE kept AND label % 2 = 1")
-def _(spark, d):
-    """Budgeted selection, padded by a neighbour for some genres only."""
-    p = R.pad(R.ratio_budget(scored(spark, d), ["query_id", "label"], 0.3), ["query_id", "label"], 1)
-    return p.where("(label % 2 = 0 and padded) or (label % 2 = 1 and kept)").select("query_id", "item_id")
-
-
 @query("c22_query_aware_windowed", f"WITH {ADAPTIVE}, f AS (SELECT s.*, a.item_id IS NOT NULL AS kept FROM scored s LEFT JOIN adaptive a USING (query_id, item_id)), p AS (SELECT *, max(CAST(kept AS INT)) OVER (PARTITION BY query_id, label ORDER BY item_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS p FROM f) SELECT query_id, item_id FROM p WHERE p = 1")
 def _(spark, d):
     return R.pad(R.adaptive_flag(scored(spark, d), ["query_id"]), ["query_id", "label"], 1).where("padded").select("query_id", "item_id")
@@ -284,12 +262,6 @@ def _(spark, d):
     return out(severities(spark, d), "query_id", "before", "after", "severity")
 
 
-@query("a24_severity_exposure", f"WITH {_SEV} SELECT query_id, CAST(count(*) AS BIGINT) AS n_seams, round(sum(severity), 6) AS total, round(avg(severity), 6) AS mean, round(max(severity), 6) AS highest FROM v GROUP BY query_id")
-def _(spark, d):
-    s = severities(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_seams"), F.sum("severity").alias("total"), F.avg("severity").alias("mean"), F.max("severity").alias("highest"))
-    return out(s)
-
-
 @query("r11_mmr")
 def _(spark, d):
     """Half of each chunk's sentences by relevance and diversity, in order of choice, out of all its sentences."""
@@ -317,12 +289,6 @@ def _(spark, d):
     return kept.groupBy("doc_id", "chunk_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
 
 
-@query("t11_dependent_ratio", "WITH c AS (SELECT doc_id, chunk_idx, max(text) AS text FROM chunk GROUP BY ALL) SELECT doc_id, round(least(1.0, 200.0 / sum(length(text))), 6) AS ratio FROM c GROUP BY doc_id")
-def _(spark, d):
-    c = read(spark, d, "chunk", "doc_id", "chunk_idx", "text").groupBy("doc_id", "chunk_idx").agg(F.max("text").alias("text"))
-    return c.groupBy("doc_id").agg(F.round(F.least(F.lit(1.0), F.lit(200.0) / F.sum(F.length("text"))), 6).alias("ratio"))
-
-
 @query("v07_embedding_memo", "SELECT CAST(count(DISTINCT text) AS BIGINT) AS asked, CAST(count(DISTINCT CASE WHEN length(text) % 2 = 0 THEN text END) AS BIGINT) AS hits FROM hit WHERE text IS NOT NULL")
 def _(spark, d):
     from folio.operators.connect import embed_texts, with_memo
