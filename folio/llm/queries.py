@@ -3,29 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.llm import leakage, mixing, neardup, pairs, residue, sentences, sharedspans, splitting, tokens
+
+#: The modules are imported here, so that what keeps one from being imported keeps the whole subpackage out.
 _WHERE = {
-    "leakage": ["p7_found"],
-    "neardup": ["p1_found", "p1_groups"],
-    "mixing": ["p8_mix", "p8_shares"],
-    "pairs": ["p5_found"],
-    "residue": ["p9_found", "p9_messages"],
-    "sentences": ["p3_found"],
-    "sharedspans": ["p4_found", "p4_report", "p4_passages", "p4_copies"],
-    "tokens": ["p2_documents", "p2_budget", "p2_against_log"],
-    "splitting": ["p6_found", "p6_pieces"],
+    leakage: ["p7_found"],
+    neardup: ["p1_found", "p1_groups"],
+    mixing: ["p8_mix", "p8_shares"],
+    pairs: ["p5_found"],
+    residue: ["p9_found", "p9_messages"],
+    sentences: ["p3_found"],
+    sharedspans: ["p4_found", "p4_report", "p4_passages", "p4_copies"],
+    tokens: ["p2_documents", "p2_budget", "p2_against_log"],
+    splitting: ["p6_found", "p6_pieces"],
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {}
-    for module, names in _WHERE.items():
-        m = import_module(f"folio.llm.{module}")
-        out |= {name: getattr(m, name) for name in names}
-    return out
+    return {name: getattr(module, name) for module, names in _WHERE.items() for name in names}
 
 
 _P1 = r"""
