@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -70,7 +71,15 @@ CLOSERS = "”’\"'»“」』）)]›"
 
 def squeeze(text: str | None) -> str:
     """Text without case, spacing, commas and other marks."""
-    return re.sub(r"[\W_]+", "", (text or "").casefold())
+    return "".join(filter(str.isalnum, (text or "").casefold()))
+
+
+def same_text(source: str | None, forms: set[str]) -> bool:
+    """Whether the squeezed source is one of the forms; the first letters tell most that aren't."""
+    if not source:
+        return False
+    head = "".join(islice(filter(str.isalnum, source.casefold()), 24))
+    return bool(head) and any(f.startswith(head) for f in forms) and squeeze(source) in forms
 
 
 def unlabelled(text: str) -> str:
@@ -106,11 +115,13 @@ def language(text: str | None, least: int = 2) -> str | None:
     """Main language, None if too little speaks for any."""
     if not text:
         return None
-    kana = len(re.findall("[ぁ-ヺ]", text))
-    han = len(re.findall("[一-鿿]", text))
     latin = len(re.findall("[A-Za-zÀ-ÿ]", text))
-    deva = len(re.findall("[ऀ-ॿ]", text))
-    thai = len(re.findall("[฀-๿]", text))
+    kana = han = deva = thai = 0
+    if max(text) >= "\u0900":
+        kana = len(re.findall("[ぁ-ヺ]", text))
+        han = len(re.findall("[一-鿿]", text))
+        deva = len(re.findall("[ऀ-ॿ]", text))
+        thai = len(re.findall("[฀-๿]", text))
     best = max((3 * kana + (2 * han if kana > 0.15 * (kana + han) else 0), "ja"), (3 * han if kana <= 0.15 * (kana + han) else 0, "zh"), (deva, "hi"), (thai, "th"), (latin, "latin"))
     if best[0] < 4:
         return None
@@ -190,8 +201,7 @@ def defect(target: str | None, input_text: str | None, previous: str | None, chu
     passage = passage_of(input_text, chunk)
     forms = {squeeze(target), squeeze(stripped)} - {""}
     for source in (input_text, chunk, passage, previous):
-        s = squeeze(source)
-        if s and (s in forms or squeeze(unlabelled(source)) in forms):
+        if same_text(source, forms) or (source and same_text(unlabelled(source), forms)):
             return "copy"
     own, theirs = (language(plain(t), 1) or language(t) for t in (stripped, passage))
     if own and theirs and own != theirs:
@@ -245,40 +255,43 @@ def shortened_texts(texts: DataFrame) -> DataFrame:
     return prefixes_of(texts, texts)
 
 
-def form(text: str, kept: frozenset) -> list[str]:
-    """Tokens of a text with figures and rare words masked; masked words keep their case, runs of masked signs are one."""
-    out: list[str] = []
-    for w in TOKEN.findall(text):
-        if w[0].isdigit():
-            w = "0"
-        elif w not in kept:
-            w = "A" if w[0].isupper() else "a" if w[0].islower() else "_"
-            if w == "_" and out and out[-1] == "_":
-                continue
-        out.append(w)
-    return out
+class Masks(dict):
+    """What a token becomes: itself if it is kept, else a sign of its kind."""
+
+    def __init__(self, kept: frozenset):
+        super().__init__()
+        self.kept = kept
+
+    def __missing__(self, w: str) -> str:
+        out = "0" if w[0].isdigit() else w if w in self.kept else "A" if w[0].isupper() else "a" if w[0].islower() else "_"
+        if len(self) < 500_000:
+            self[w] = out
+        return out
+
+
+def form(tokens: list[str], masks: Masks) -> list[str]:
+    """Tokens with figures and rare words masked; masked words keep their case, runs of masked signs are one."""
+    out = [masks[w] for w in tokens]
+    return [w for w, before in zip(out, ["", *out]) if w != "_" or before != "_"] if "_" in out else out
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """In how many texts of the batch each word stands; words of one text in it are left to the sum over batches too."""
+    """In how many texts of the batch each word stands."""
     for pdf in batches:
         n: Counter = Counter()
-        texts = 0
         for col in ("target_text", "chunk_text"):
             for t in pdf[col]:
                 if t:
-                    texts += 1
                     n.update(set(TOKEN.findall(t)))
-        yield pd.DataFrame({"word": ["", *n], "n": [texts, *n.values()]})
+        yield pd.DataFrame({"word": list(n), "n": list(n.values())})
 
 
 def frequent_words(pairs: DataFrame, shares: tuple[float, ...] = FORM_SHARES) -> list[frozenset]:
     """Words in at least each share of all texts: never more than the words of an average text divided by the share."""
+    texts = pairs.agg(F.count(F.nullif("target_text", F.lit(""))) + F.count(F.nullif("chunk_text", F.lit("")))).first()[0]
     n = pairs.select("target_text", "chunk_text").mapInPandas(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    whole = n.where("word = ''").select(F.col("n").alias("texts"))
-    kept = n.crossJoin(F.broadcast(whole)).where(F.col("n") >= F.lit(min(shares)) * F.col("texts"))  # one row
-    rows = kept.where("word <> ''").collect()
-    return [frozenset(r["word"] for r in rows if r["n"] >= share * r["texts"]) for share in shares]
+    rows = n.where(F.col("n") >= min(shares) * texts).collect()
+    return [frozenset(r["word"] for r in rows if r["n"] >= share * texts) for share in shares]
 
 
 def _last(text: str, model: Model) -> tuple[list[str], str]:
@@ -295,11 +308,11 @@ def _forms(levels: list[frozenset], model: Model):
     """'whole': forms of whole sentences, at each level of masking. 'own': the last sentence of a target, at each level;
     'cut0' to 'cut3': its finest form without what trails and the last 0 to 3 tokens. A form begins with its level."""
     line = lambda tokens, level=0: f"{level} " + "".join(w + " " for w in tokens)
-    kept = levels[0]
+    masks = [Masks(kept) for kept in levels]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            rows, seen = [], set()
             for pid, target, chunk in zip(pdf["pair_id"], pdf["target_text"], pdf["chunk_text"]):
                 wholes: list[str] = []
                 if chunk:
@@ -310,10 +323,13 @@ def _forms(levels: list[frozenset], model: Model):
                     more, tail = _last(target, model)
                     wholes = [*wholes, *more]
                     marked = tail.rstrip(CLOSERS + " ")[-1:] in END_MARKS  # without any mark a coarse likeness says nothing
-                    rows += [(pid, "own", line(form(tail, k), i)) for i, k in enumerate(levels if marked else levels[:1])]
-                    bare = form(TRAIL.sub("", tail), kept)
+                    rows += [(pid, "own", line(form(TOKEN.findall(tail), m), i)) for i, m in enumerate(masks if marked else masks[:1])]
+                    bare = form(TOKEN.findall(TRAIL.sub("", tail)), masks[0])
                     rows += [(pid, f"cut{k}", line(bare[: len(bare) - k])) for k in range(4) if len(bare) - k >= max(1, 2 * k)]
-                rows += [(None, "whole", line(f, i)) for i, k in enumerate(levels) for f in {tuple(form(x, k)) for x in wholes} if f]
+                for tokens in map(TOKEN.findall, wholes):
+                    if tokens:
+                        seen |= {line(form(tokens, m), i) for i, m in enumerate(masks)}
+            rows += [(None, "whole", t) for t in seen]
             out = pd.DataFrame(rows, columns=["pair_id", "kind", "t"])
             yield out.astype({"pair_id": "Int64"})
 

@@ -117,6 +117,7 @@ def quotations(text: str) -> list[tuple[int, int]]:
 
 
 _QUOTE_CHARS = re.compile("[“”„«»‘「『‹\"]")
+_THAI = re.compile("[฀-๿]")
 _TOKEN = re.compile(r"\S+$")
 _NEXT = re.compile(r"[^\W_]+(?:['’.-][^\W_]+)*")
 
@@ -270,7 +271,7 @@ def places(text: str) -> tuple[list[tuple[int, int, int, int, bool]], list[tuple
     quotes = quotations(text) if _QUOTE_CHARS.search(text) else []
     closing = {s[1] for s in quotes}
     stops: list[tuple[int, int, bool]] = [(m.start(), m.end(), False) for m in MARK.finditer(text)]
-    if any("฀" <= c <= "๿" for c in text):
+    if _THAI.search(text):
         for m in re.finditer(r"\s+", text):
             a, b = m.span()
             if first < a and b < n and ("฀" <= text[a - 1] <= "๿" or "฀" <= text[b] <= "๿"):
