@@ -309,6 +309,28 @@ def _(spark, d):
     return u.select(r("u"), F.col("n_first").cast("long").alias("n_first"), F.col("n_rest").cast("long").alias("n_rest"), r("z"), r("p"))
 
 
+_MEANS = f"{_SEV}, m AS (SELECT query_id, round(avg(severity), 9) AS severity FROM v GROUP BY query_id), o AS (SELECT *, row_number() OVER (ORDER BY query_id) - 1 AS place, count(*) OVER () AS n FROM m)"
+
+
+@query("c26_seam_outcomes", f"""WITH {_MEANS}, qa AS (SELECT result_id, bool_or(correct) AS correct FROM qa_stage2_adaptive_threshold_sweep_ratio0chk GROUP BY result_id), q AS (SELECT correct, (row_number() OVER (ORDER BY result_id) - 1) % (SELECT max(n) FROM o) AS place FROM qa WHERE correct IS NOT NULL),
+f AS (SELECT correct AS g, severity AS v FROM q JOIN o USING (place)), r AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM f), t AS (SELECT CAST(sum(CASE WHEN g THEN r ELSE 0 END) AS DOUBLE) AS ra, CAST(sum(CASE WHEN g THEN 1 ELSE 0 END) AS DOUBLE) AS na, CAST(count(*) AS DOUBLE) AS n FROM r),
+ti AS (SELECT CAST(sum(m * m * m - m) AS DOUBLE) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS m FROM f GROUP BY v)), z AS (SELECT greatest(0, abs(ra - na * (na + 1) / 2 - na * (n - na) / 2) - 0.5) / sqrt(na * (n - na) / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM t, ti), e AS (SELECT z / sqrt(2.0) AS x, 1 / (1 + {E.ERFC_P} * z / sqrt(2.0)) AS t FROM z)
+SELECT g AS correct, round(avg(v), 6) AS mean_severity, CAST(count(*) AS BIGINT) AS n, (SELECT round(least(1.0, {_ERFC}), 6) FROM e) AS p FROM f GROUP BY g""")
+def _(spark, d):
+    """Outcomes of the sweep's questions joined to seam exposure: mean severity of right and wrong ones, and the chance of as
+    great a difference. The tables own no common key, so the results are dealt in order to all queries that have seams."""
+    from folio.plans.catalog_eval import qa
+    from folio.runtime import cut
+
+    s = cut(severities(spark, d).groupBy("query_id").agg(F.round(F.avg("severity"), 9).alias("severity")))
+    s = C.with_row_number(s, ["query_id"], "place").select("place", "severity")
+    q = C.with_row_number(qa(spark, d).where("correct is not null").select("result_id", "correct"), ["result_id"], "place")
+    q = q.crossJoin(F.broadcast(s.agg(F.count(F.lit(1)).alias("n_queries")))).withColumn("place", F.col("place") % F.col("n_queries"))
+    both = q.join(s, "place")
+    p = E.mann_whitney(both, "severity", "correct", True).select(F.round("p", 6).alias("p"))
+    return both.groupBy("correct").agg(F.round(F.avg("severity"), 6).alias("mean_severity"), F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(p))  # one row
+
+
 _PAIR = "p AS (SELECT pair_id, max(conditioning) AS c, max(chunk_position) AS pos, max(target_text) AS t, max(previous_summary) AS s, max(chunk_text) AS k FROM stage2_pair GROUP BY pair_id)"
 
 
@@ -431,3 +453,83 @@ def _(spark, d):
     """Distinct link targets of pages made of the documents, with the first page that has them."""
     page = F.concat(F.lit("<a href='/"), F.coalesce("source", F.lit("none")), F.lit("'>x</a><a class=k href=\"#top\">[y]</a>"))
     return S.links(read(spark, d, "documents", "doc_id", "source").select("doc_id", page.alias("html")), "doc_id", "html", "^/")
+
+
+# --- corpora --------------------------------------------------------------------------------------------------
+
+_ANS = "regexp_extract(text, '([0-9]{4})', 1)"
+
+
+@query("b01_eval_corpus", f"""WITH RECURSIVE q AS (SELECT doc_slug AS key, doc_id AS pos, text, len({WORDS('text')}) AS n, len(regexp_extract_all(text, '[0-9]{{4}}')) AS years FROM documents WHERE text IS NOT NULL AND doc_slug IS NOT NULL), f AS (SELECT *, round(years / n::DOUBLE, 9) AS density FROM q WHERE n >= 50 AND years > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY density DESC, pos) AS k FROM f), rec AS (SELECT key, 0 AS k, 0 AS held, []::BIGINT[] AS ids FROM (SELECT DISTINCT key FROM o) UNION ALL SELECT o.key, o.k, CASE WHEN held < 1000 AND held + n <= 2000 THEN held + n ELSE held END, CASE WHEN held < 1000 AND held + n <= 2000 THEN list_append(ids, pos) ELSE ids END FROM rec JOIN o ON o.key = rec.key AND o.k = rec.k + 1),
+c AS (SELECT key, unnest(ids) AS pos FROM (SELECT * FROM rec QUALIFY row_number() OVER (PARTITION BY key ORDER BY k DESC) = 1)), p AS (SELECT key, pos, text, {_ANS} AS answer, coalesce(sum(length(text) + 2) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM c JOIN f USING (key, pos)),
+k AS (SELECT *, o + instr(text, answer) - 1 AS evidence FROM p WHERE (length(text) - length(replace(text, answer, ''))) / length(answer) BETWEEN 1 AND 3)
+SELECT key AS doc_slug, CAST(row_number() OVER (PARTITION BY key ORDER BY evidence) AS BIGINT) AS question_id, answer, CAST(evidence AS BIGINT) AS evidence, pos AS doc_id FROM k""")
+def _(spark, d):
+    """Texts grouped by work, long enough, chosen densest in answers first up to a word band, joined in order with offsets,
+    and their answers checked - rare, at their place - and renumbered."""
+    q = docs(spark, d, "doc_slug").where("doc_slug is not null").select(F.col("doc_slug").alias("key"), F.col("doc_id").alias("pos"), "text", T.word_count(F.col("text")).alias("n_words"), F.size(F.regexp_extract_all("text", F.lit("([0-9]{4})"), F.lit(1))).alias("years"))
+    f = q.where("n_words >= 50 and years > 0").withColumn("o", -F.round(F.col("years") / F.col("n_words"), 9))
+    chosen = C.band(f.select("key", "pos", "n_words", "o"), "key", ["o", "pos"], 1000, 2000).select("key", F.explode("ids").alias("pos"))
+    placed = C.concat_offsets(f.join(chosen, ["key", "pos"], "left_semi"), ["key"], "pos", "text", 2).withColumn("answer", F.regexp_extract("text", "([0-9]{4})", 1))
+    placed = placed.where(C.rare_enough(F.col("text"), F.col("answer"))).withColumn("evidence", F.col("offset") + T.find(F.col("text"), F.col("answer")))
+    n = F.row_number().over(Window.partitionBy("key").orderBy("evidence"))
+    return placed.select(F.col("key").alias("doc_slug"), n.cast("long").alias("question_id"), "answer", "evidence", F.col("pos").alias("doc_id"))
+
+
+@query("b03_partition", f"""WITH RECURSIVE t AS (SELECT doc_slug, lower(trim(min(genre))) AS key, sum(len({WORDS('text')})) AS n FROM documents WHERE doc_slug IS NOT NULL AND text IS NOT NULL GROUP BY doc_slug), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(doc_slug), doc_slug) AS k FROM t WHERE key IS NOT NULL),
+rec AS (SELECT key, 0 AS k, 0 AS bin, 0::HUGEINT AS held, false AS put, NULL::VARCHAR AS doc_slug FROM (SELECT DISTINCT key FROM o) UNION ALL SELECT o.key, o.k, CASE WHEN held >= 1500 THEN bin + 1 ELSE bin END, CASE WHEN h + n <= 6000 THEN h + n ELSE h END, h + n <= 6000, o.doc_slug FROM rec JOIN o ON o.key = rec.key AND o.k = rec.k + 1, LATERAL (SELECT CASE WHEN held >= 1500 THEN 0 ELSE held END AS h) x)
+SELECT key AS genre, doc_slug, CAST(bin AS BIGINT) AS bin, CASE WHEN bin % 5 = 0 THEN 'eval' ELSE 'train' END AS split FROM rec WHERE put""")
+def _(spark, d):
+    """Titles of a genre in the order of a hash, packed one after the other into corpora; every fifth one is for evaluation."""
+    t = docs(spark, d, "doc_slug", "genre").where("doc_slug is not null").groupBy("doc_slug").agg(F.lower(F.trim(F.min("genre"))).alias("key"), F.sum(T.word_count(F.col("text"))).alias("n_words")).where("key is not null")
+    t = t.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy(F.md5("doc_slug"), "doc_slug")).cast("long"))
+    b = C.pack(t.select("key", "pos", "n_words"), "key", 1500, 6000)
+    return t.join(b, ["key", "pos"]).select(F.col("key").alias("genre"), "doc_slug", "bin", F.when(F.col("bin") % 5 == 0, "eval").otherwise("train").alias("split"))
+
+
+@query("b08_length_ladder", f"""WITH w AS (SELECT doc_id, text, len({WORDS('text')}) AS n, instr(text, nullif({_ANS}, '')) AS at_ FROM documents WHERE text IS NOT NULL), e AS (SELECT *, len({WORDS('left(text, CAST(at_ - 1 AS INTEGER))')}) + 1 AS place, unnest([100, 200, 400, 800]) AS v FROM w)
+SELECT doc_id, CAST(v AS BIGINT) AS rung, CAST(least(n, v) AS BIGINT) AS n_words, n >= v AS full_, coalesce(place <= least(n, v), false) AS answerable FROM e""")
+def _(spark, d):
+    """Rungs of growing length over each text, and whether its answer (the first year) still lies within."""
+    a = F.nullif(F.regexp_extract("text", "([0-9]{4})", 1), F.lit(""))
+    w = docs(spark, d).withColumn("place", T.word_index(F.col("text"), T.find(F.col("text"), a))).select("doc_id", "place", T.word_count(F.col("text")).alias("n"), F.explode(F.array(*[F.lit(v) for v in (100, 200, 400, 800)])).alias("v"))
+    held = F.least("n", "v")
+    return w.select("doc_id", F.col("v").cast("long").alias("rung"), held.cast("long").alias("n_words"), (F.col("n") >= F.col("v")).alias("full_"), F.coalesce(F.col("place") <= held, F.lit(False)).alias("answerable"))
+
+
+@query("b09_pair_prep", f"""WITH p AS (SELECT pair_id, {WORDS('max(input_text)')} AS i, max(target_text) AS t FROM stage2_pair GROUP BY pair_id HAVING max(input_text) IS NOT NULL AND max(target_text) IS NOT NULL), s AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(pair_id AS VARCHAR)), pair_id) - 1 AS place, count(*) OVER () AS n FROM p)
+SELECT pair_id, 'summarize: ' || array_to_string(i[1:40], ' ') AS source_text, t AS target_text, CASE WHEN place * 10 < n THEN 'dev' ELSE 'train' END AS split FROM s""")
+def _(spark, d):
+    """Pairs as prompts, shuffled by a hash of their key, the first tenth for development."""
+    p = read(spark, d, "stage2_pair", "pair_id", "input_text", "target_text").groupBy("pair_id").agg(F.max("input_text").alias("i"), F.max("target_text").alias("t")).where("i is not null and t is not null")
+    n = p.agg(F.count(F.lit(1)).alias("n"))
+    s = C.with_row_number(p.withColumn("o", F.md5(F.col("pair_id").cast("string"))), ["o", "pair_id"], "place").crossJoin(F.broadcast(n))  # one row
+    return s.select("pair_id", F.concat(F.lit("summarize: "), T.truncate_words(F.col("i"), 40)).alias("source_text"), F.col("t").alias("target_text"), F.when(F.col("place") * 10 < F.col("n"), "dev").otherwise("train").alias("split"))
+
+
+_NOVEL = lambda w: f"(CASE WHEN len({w}) < 3 THEN 0.0 ELSE len(list_filter(list_distinct({NGRAMS(w, 3)}), lambda x: NOT list_contains(sg, x)))::DOUBLE / len(list_distinct({NGRAMS(w, 3)})) END)"
+#: Variants of the loop that makes states: what each adds to the plain one.
+VARIANTS = {"baseline": (), "no_context_on_collapse": ("fallback",), "instruction": ("instruction",), "both": ("fallback", "instruction")}
+
+
+@query("c28_collapse_ablation", f"""WITH {_PAIR}, g AS (SELECT pair_id, {WORDS('lower(t)')} AS t, {WORDS('lower(s)')} AS s, {WORDS('lower(k)')} AS k FROM p WHERE t IS NOT NULL AND k IS NOT NULL AND coalesce(s, '') <> ''),
+b AS (SELECT pair_id, list_concat(s[-12:], k[1:8]) AS base, list_concat(['update:'], list_concat(s[-12:], k[1:8])) AS instr, k[1:8] AS alone, s FROM g), n AS (SELECT *, {NGRAMS('s', 3)} AS sg FROM b), v AS (SELECT 'baseline' AS variant, base AS o, sg FROM n UNION ALL SELECT 'no_context_on_collapse', CASE WHEN {{nov}} < 0.5 THEN alone ELSE base END, sg FROM n UNION ALL SELECT 'instruction', instr, sg FROM n UNION ALL SELECT 'both', CASE WHEN {{novi}} < 0.5 THEN alone ELSE instr END, sg FROM n),
+r AS (SELECT variant, {{novo}} AS novel FROM v) SELECT variant, CAST(count(*) AS BIGINT) AS n, round(avg(novel), 6) AS mean, round(avg(CASE WHEN novel < 0.5 THEN 1.0 ELSE 0.0 END), 6) AS collapse_rate FROM r GROUP BY variant""".replace("{nov}", _NOVEL("base")).replace("{novi}", _NOVEL("instr")).replace("{novo}", _NOVEL("o")))
+def _(spark, d):
+    """Collapse of states against their context in four variants of the stub curator, who copies the context's last twelve
+    words before the passage's first eight: plain, without context where the state collapsed, with an instruction, both."""
+    p = pair_rows(spark, d).where("t is not null and k is not null and coalesce(s, '') <> ''")
+    s, k = T.words(F.lower("s")), F.slice(T.words(F.lower("k")), 1, 8)
+    base = F.concat(T.let(s, lambda w: F.slice(w, F.greatest(F.lit(1), F.size(w) - 11), 12)), k)
+    instr = F.concat(F.array(F.lit("update:")), base)
+    grams = lambda w: F.array_distinct(T.ngrams(w, 3))
+    p = p.select(base.alias("base"), instr.alias("instr"), k.alias("alone"), grams(s).alias("sg"))
+    novel = lambda w: T.let(F.struct(grams(w).alias("g"), F.col("sg").alias("s")), lambda x: F.when(F.size(x["g"]) < 1, F.lit(0.0)).otherwise(F.size(F.array_except(x["g"], x["s"])) / F.size(x["g"]).cast("double")))
+
+    def state(adds: tuple) -> Column:
+        plain = F.col("instr") if "instruction" in adds else F.col("base")
+        return F.when(novel(plain) < 0.5, F.col("alone")).otherwise(plain) if "fallback" in adds else plain
+
+    v = p.select("sg", F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), state(a).alias("o")) for n, a in VARIANTS.items()])).alias("v")).select("sg", "v.variant", "v.o")
+    return out(v.withColumn("novel", novel(F.col("o"))).groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.avg("novel").alias("mean"), F.avg((F.col("novel") < 0.5).cast("double")).alias("collapse_rate")))

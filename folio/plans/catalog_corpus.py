@@ -10,7 +10,7 @@ from folio.operators import corpus as C
 from folio.operators import select as R
 from folio.plans.catalog_text import SENTENCES, WORDS, docs
 from folio.plans.registry import query
-from folio.runtime import cut, read
+from folio.runtime import read
 
 
 def sized(spark, d):
@@ -94,20 +94,6 @@ def _(spark, d):
     return k.agg(F.count(F.lit(1)).alias("n_evidence"), F.sum(F.col("kept").cast("long")).alias("n_kept"))
 
 
-@query("b01_eval_corpus")
-def _(spark, d):
-    """Texts grouped by work, long enough, chosen densest first up to a word band, joined with offsets, and their
-    answers checked: aligned, rare, renumbered."""
-    q = docs(spark, d, "doc_slug", "genre").where(T.word_count(F.col("text")) >= 50)
-    q = q.withColumn("answer", F.regexp_extract("text", r"(\d{4})", 1)).where("answer <> ''").withColumn("n_words", T.word_count(F.col("text")))
-    w = Window.partitionBy("doc_slug").orderBy("n_words", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    fits = q.withColumn("cum", F.sum("n_words").over(w)).where("cum <= 2000")
-    placed = C.concat_offsets(fits, ["doc_slug"], "doc_id", "text", 2)
-    placed = placed.withColumn("evidence", F.col("offset") + T.find(F.col("text"), F.col("answer"))).where(C.rare_enough(F.col("text"), F.col("answer")))
-    n = F.row_number().over(Window.partitionBy("doc_slug").orderBy("evidence"))
-    return placed.select("doc_slug", n.cast("long").alias("question_id"), "answer", "evidence", "doc_id")
-
-
 @query("b02_train_corpora")
 def _(spark, d):
     """Documents without leaks, dealt to bins within a band."""
@@ -117,25 +103,6 @@ def _(spark, d):
     return C.deal(s, "key", 3, 300, 900)
 
 
-@query("b03_partition", "WITH t AS (SELECT doc_slug, min(doc_id) AS f FROM documents WHERE doc_slug IS NOT NULL GROUP BY doc_slug) SELECT doc_slug, CASE WHEN f % 5 = 0 THEN 'eval' ELSE 'train' END AS split FROM t")
-def _(spark, d):
-    """Works split between evaluation and training by their first document."""
-    t = read(spark, d, "documents", "doc_slug", "doc_id").where("doc_slug is not null").groupBy("doc_slug").agg(F.min("doc_id").alias("f"))
-    return t.select("doc_slug", F.when(F.col("f") % 5 == 0, "eval").otherwise("train").alias("split"))
-
-
-@query("b08_length_ladder", f"WITH w AS (SELECT doc_id, len({WORDS('text')}) AS n FROM documents WHERE text IS NOT NULL), v AS (SELECT unnest([100, 200, 400, 800]) AS v) SELECT doc_id, CAST(v AS BIGINT) AS rung, CAST(least(n, v) AS BIGINT) AS n_words, n >= v AS full_ FROM w, v")
-def _(spark, d):
-    w = docs(spark, d).select("doc_id", T.word_count(F.col("text")).alias("n"), F.explode(F.array(*[F.lit(v) for v in (100, 200, 400, 800)])).alias("v"))
-    return w.select("doc_id", F.col("v").cast("long").alias("rung"), F.least("n", "v").cast("long").alias("n_words"), (F.col("n") >= F.col("v")).alias("full_"))
-
-
-@query("b09_pair_prep", f"WITH p AS (SELECT pair_id, {WORDS('max(input_text)')} AS i, max(target_text) AS t FROM stage2_pair GROUP BY pair_id HAVING max(input_text) IS NOT NULL AND max(target_text) IS NOT NULL) SELECT pair_id, 'summarize: ' || array_to_string(i[1:40], ' ') AS source_text, t AS target_text FROM p")
-def _(spark, d):
-    p = read(spark, d, "stage2_pair", "pair_id", "input_text", "target_text").groupBy("pair_id").agg(F.max("input_text").alias("i"), F.max("target_text").alias("t")).where("i is not null and t is not null")
-    return p.select("pair_id", F.concat(F.lit("summarize: "), T.truncate_words(F.col("i"), 40)).alias("source_text"), F.col("t").alias("target_text"))
-
-
 @query("b07_probe_windows")
 def _(spark, d):
     """Word windows, probe pairs from the injected model's reply, answers found verbatim."""
@@ -157,14 +124,15 @@ def _(spark, d):
     return read(spark, d, "eval_item", "item_id", "passage", "question").select("item_id", F.concat(F.lit("Context: "), "passage", F.lit("\nQuestion: "), "question").alias("prompt"))
 
 
-def _gist_scores(spark, d):
+def _gist_scores(spark, d, g=None):
     """Gists scored against the gists whose id is divisible by 100, by hashed word vectors."""
     from folio.functions.vector import score_all
     from folio.operators.connect import embed_texts
 
-    g = read(spark, d, "teacher_gists_anticollapse_wiki20_pilot", "gist_id", "text").groupBy("gist_id").agg(F.max("text").alias("text")).where("text is not null")
+    if g is None:
+        g = read(spark, d, "teacher_gists_anticollapse_wiki20_pilot", "gist_id", "text").groupBy("gist_id").agg(F.max("text").alias("text")).where("text is not null")
     v = embed_texts(g, "gist_id", "text")
-    return score_all(v.select(F.col("gist_id").alias("item_id"), "vec"), v.where("gist_id % 100 = 0").select(F.col("gist_id").alias("query_id"), "vec")).where("query_id <> item_id")
+    return score_all(v.select(F.col("gist_id").alias("item_id"), "vec"), v.where("gist_id % 100 = 0").select(F.col("gist_id").alias("query_id"), "vec"), 0.85).where("query_id <> item_id")
 
 
 @query("c10_gist_embedding")
@@ -173,6 +141,14 @@ def _(spark, d):
     return a.select("query_id", "item_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("c13_short_gists")
+def _(spark, d):
+    """Selection by gists of at most 128 words: what was cut off takes no part in it, nor in the text that is shown."""
+    g = read(spark, d, "teacher_gists_anticollapse_wiki20_pilot", "gist_id", "text").groupBy("gist_id").agg(T.truncate_words(F.max("text"), 128).alias("text")).where("text is not null")
+    a = R.adaptive_k(_gist_scores(spark, d, g), ["query_id"])
+    return a.join(g.withColumnRenamed("gist_id", "item_id"), "item_id").select("query_id", "item_id", "text")
+
+
 @query("c11_gist_select_raw_text")
 def _(spark, d):
     a = R.adaptive_k(_gist_scores(spark, d), ["query_id"])
@@ -180,26 +156,6 @@ def _(spark, d):
     return a.join(raw, "item_id").select("query_id", "item_id", "text")
 
 
-@query("c26_seam_outcomes")
-def _(spark, d):
-    """Outcome of the sweep's questions joined to seam exposure: mean severity of right and wrong ones. The tables own no
-    common key, so the results are dealt in order to all queries that have seams."""
-    from folio.plans.catalog_eval import qa
-    from folio.plans.catalog_vector import severities
-
-    s = cut(severities(spark, d).groupBy("query_id").agg(F.avg("severity").alias("severity")))
-    s = C.with_row_number(s, ["query_id"], "place").select("place", "severity")
-    q = C.with_row_number(qa(spark, d).where("correct is not null").select("result_id", "correct"), ["result_id"], "place")
-    q = q.crossJoin(F.broadcast(s.agg(F.count(F.lit(1)).alias("n_queries")))).withColumn("place", F.col("place") % F.col("n_queries"))
-    return q.join(s, "place").groupBy("correct").agg(F.round(F.avg("severity"), 6).alias("mean_severity"), F.count(F.lit(1)).alias("n"))
-
-
-@query("c28_collapse_ablation", "SELECT lower(trim(c)) AS variant, CAST(count(*) AS BIGINT) AS n, round(avg(length(t)), 6) AS mean_chars FROM (SELECT pair_id, max(conditioning) AS c, max(target_text) AS t FROM stage2_pair GROUP BY pair_id) WHERE t IS NOT NULL AND c IS NOT NULL GROUP BY lower(trim(c))")
-def _(spark, d):
-    p = read(spark, d, "stage2_pair", "pair_id", "conditioning", "target_text").groupBy("pair_id").agg(F.max("conditioning").alias("c"), F.max("target_text").alias("t")).where("t is not null and c is not null")
-    return p.groupBy(F.lower(F.trim("c")).alias("variant")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("t")), 6).alias("mean_chars"))
-
-
 @query("b04_excerpts", "SELECT doc_slug, CAST(count(*) AS BIGINT) AS n_excerpts, CAST(sum(length(text)) + 7 * (count(*) - 1) AS BIGINT) AS n_chars FROM documents WHERE text IS NOT NULL AND lower(trim(genre)) = 'caselaw' GROUP BY doc_slug")
 def _(spark, d):
     """Case-law excerpts of a work joined by a separator of seven characters."""

@@ -13,6 +13,8 @@ from folio.plans.registry import query
 from folio.runtime import read
 
 TAUS = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35)
+#: The eight thresholds of the sweep with answers.
+TAUS8 = (0.02, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9)
 
 
 def rows(spark, d):
@@ -161,6 +163,58 @@ class Sweep(M.Replay):
         return super().row(r)
 
 
+class Answers(Sweep):
+    """The sweep with what is left of the passages at the end: an answer (the first two words) is kept if a slot that
+    holds its passage's origin still has it."""
+
+    def __init__(self):
+        super().__init__()
+        self.asked: list[tuple[int, str]] = []
+        self.inserted = self.live = 0
+
+    def row(self, r):
+        answer = " ".join((r.text or "").split()[:2]).lower()
+        if answer:
+            self.asked.append((int(r.pos), answer))
+        for record in super().row(r):
+            self.live += record[3] > 0
+            self.inserted += record[3] > 0 and record[7] == "insert"
+        return []
+
+    def finish(self):
+        text = {o: t.lower() for t, origins in zip(self.slots.texts, self.slots.origins) for o in origins}
+        held = [answer in text.get(pos, "") for pos, answer in self.asked]
+        late = [h for (pos, _), h in zip(self.asked, held) if pos >= 3]
+        share = lambda x: sum(x) / len(x) if x else 0.0
+        return [(len(self.asked), self.live, self.inserted, len(self.slots), share(held), share(held[:3]), share(late))]
+
+
+ANSWERED = "n_probes long, n_live long, n_inserted long, memory_size long, exact double, early double, late double"
+
+
+def answered(spark, d, taus=TAUS8):
+    """Every (document, tau): what a memory that reads and writes at tau, and grows, keeps of the passages' answers."""
+    from folio.operators.connect import embed_texts
+
+    p = passages(spark, d).withColumn("k", F.concat_ws("/", "key", "pos"))
+    grid = p.join(embed_texts(p, "k", "text"), "k").select("key", "pos", "vec", "text", F.explode(F.array(*[F.lit(t) for t in taus])).alias("tau"))
+    return ordered_fold(grid, ["key", "tau"], ["pos"], Answers, ANSWERED).withColumn("insert_share", E.ratio(F.col("n_inserted"), F.col("n_live")))
+
+
+@query("t09_tau_sweep")
+def _(spark, d):
+    a = answered(spark, d)
+    kinds = dict(a.dtypes)
+    return a.select(*[F.round(c, 6).alias(c) if kinds[c] == "double" else c for c in a.columns])
+
+
+@query("r18_recommend_tau")
+def _(spark, d):
+    """The tau that keeps most answers, then the smaller memory, among those that insert some and not all."""
+    s = answered(spark, d).groupBy("tau").agg(F.avg("insert_share").alias("insert_share"), F.avg("exact").alias("answer_f1"), F.avg("memory_size").alias("memory_size"))
+    return E.recommend_tau(s).select("tau", F.round("insert_share", 6).alias("insert_share"), F.round("answer_f1", 6).alias("answer_f1"))
+
+
 def sweep(vectors, taus=TAUS):
     """Span report of every (key, tau): one fold over the cross product with the small grid."""
     grid = vectors.withColumn("tau", F.explode(F.array(*[F.lit(t) for t in taus])))
@@ -168,12 +222,6 @@ def sweep(vectors, taus=TAUS):
     return E.span_report(rec, ["key", "tau"])
 
 
-@query("t09_tau_sweep")
-def _(spark, d):
-    s = sweep(rows(spark, d))
-    return s.select("key", "tau", "n_chunks", "n_fired", "n_inserted", "memory_size", F.round("insert_share", 6).alias("insert_share"), F.round("mean_span", 6).alias("mean_span"))
-
-
 @query("t08_span_report")
 def _(spark, d):
     r = E.span_report(M.replay(rows(spark, d), 0.2, 0.2), ["key"])
@@ -187,12 +235,6 @@ def _(spark, d):
     return E.degeneration(s)
 
 
-@query("r18_recommend_tau")
-def _(spark, d):
-    s = sweep(rows(spark, d)).groupBy("tau").agg(F.avg("insert_share").alias("insert_share"), F.avg("fired_share").alias("answer_f1"), F.avg("memory_size").alias("memory_size"))
-    return E.recommend_tau(s).select("tau", F.round("insert_share", 6).alias("insert_share"))
-
-
 def _thread_scores(spark, d):
     """Threads of each document against each query: the score of a thread is that of its anchor."""
     from folio.plans.catalog_vector import scored
