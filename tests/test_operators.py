@@ -240,3 +240,72 @@ def test_pack_and_deal(spark):
     df = spark.createDataFrame([("a", i, n) for i, n in enumerate([50, 60, 300, 40, 100])], "key string, pos long, n_words long")
     assert [(r.pos, r.bin) for r in C.pack(df, "key", 100, 150).orderBy("pos").collect()] == [(0, 0), (1, 0), (3, 1), (4, 1)]
     assert C.deal(df, "key", 2, 90, 160).count() == 4
+
+
+def test_semantic_units_of_paragraphs(spark):
+    p = [(1, 0, "It rained. “Come. Now,” he said. It’s late.", 10, False), (1, 1, "***", 60, True), (1, 2, "End here.", 70, False)]
+    df = spark.createDataFrame(p, "doc_id long, para_idx int, text string, char_offset long, is_scene_break boolean")
+    got = [(r.unit_idx, r.paragraph_index, r.sentence_start, r.sentence_end, r.n_items, r.word_count, r.char_offset, r.text) for r in S.semantic_units(df).orderBy("unit_idx").collect()]
+    assert got == [(0, 0, 0, 0, 1, 2, 10, "It rained."), (1, 0, 1, 2, 2, 4, 21, "“Come. Now,” he said."), (2, 0, 3, 3, 1, 2, 43, "It’s late."), (3, 1, 4, 4, 1, 1, 60, "***"), (4, 2, 5, 5, 1, 2, 70, "End here.")]
+    tight = S.semantic_units(df, max_words=3)
+    assert [r.text for r in tight.orderBy("unit_idx").collect()][1:3] == ["“Come.", "Now,” he said."]
+
+
+def test_word_spans_reach_the_next_window(spark):
+    df = spark.createDataFrame([(1, "  a bb\n\nccc  d "), (2, " \n"), (3, None), (4, "")], "doc_id long, text string")
+    assert [tuple(r) for r in S.word_spans(df, 2).collect()] == [(1, 0, 2, 8, 2), (1, 1, 8, 15, 2)]
+
+
+def test_pruned_scores_keep_all_that_a_cut_off_can_take(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist(), i % 3) for i in range(300)] + [(900, [0.0] * 4, 0)]
+    df = spark.createDataFrame(rows, "item_id long, vec array<double>, label int").repartition(5)
+    q = df.where("item_id < 6").select(F.col("item_id").alias("query_id"), "vec")
+    whole = V.score_all(df, q).where("query_id <> item_id")
+    pruned = V.score_all(df, q, 0.85)
+    pick = lambda s: {(r.query_id, r.item_id, r.label) for r in R.adaptive_k(s, ["query_id"]).collect()}
+    assert pick(whole) == pick(pruned) and pruned.count() < whole.count()
+
+
+def test_running_sums_and_two_sided_p(spark):
+    df = spark.createDataFrame([(float(i % 50), i) for i in range(200)], "v double, n long").groupBy("v").agg(F.sum("n").alias("n"))
+    got = {r.v: r.before for r in C.running_sum(df, ["v"], "n", "before").collect()}
+    sums = {float(v): sum(i for i in range(200) if i % 50 == v) for v in range(50)}
+    assert got == {v: sum(s for w, s in sums.items() if w < v) for v in sums}
+    z = spark.createDataFrame([(x,) for x in (0.0, 0.5, -1.96, 4.0)], "z double").select("z", E.two_sided_p(F.col("z")).alias("p")).collect()
+    assert all(abs(r.p - math.erfc(abs(r.z) / math.sqrt(2))) < 1e-6 for r in z)
+
+
+def test_balanced(spark):
+    df = spark.createDataFrame([("a", i, int(i < 2)) for i in range(20)] + [("b", i, 0) for i in range(5)], "g string, k long, y int")
+    got = C.balanced(df, "g", "y", "k", 0.25).collect()
+    assert sum(r.y for r in got) == 2 and len(got) == 8 and {r.g for r in got} == {"a"}
+
+
+def test_label_lines(spark):
+    from folio.functions import text as T
+
+    df = spark.createDataFrame([("Sure:\n[0]: The gate\n 2. A ford \nno label\n0. The mill\n[3]:",)], "t string")
+    assert [tuple(x) for x in df.select(T.label_lines(F.col("t"))).first()[0]] == [(0, "The gate"), (2, "A ford"), (0, "The mill")]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from folio import runtime
+
+    spark = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=SimpleNamespace(master=master))
+    assert runtime.shared_base(spark("spark://x:7077", "hdfs://x/y")) == "hdfs://x/y"
+    with pytest.raises(RuntimeError):
+        runtime.shared_base(spark("spark://x:7077", None))
+    assert runtime.shared_base(spark("local[4]", None))
+
+
+def test_released_folders_are_gone(spark):
+    from folio import runtime
+
+    path = runtime.shared_folder(spark, "t")
+    spark.range(3).write.parquet(path)
+    assert runtime.release(spark) >= 1
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(path).count()
