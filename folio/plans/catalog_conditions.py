@@ -312,23 +312,35 @@ def _(spark, d):
 _MEANS = f"{_SEV}, m AS (SELECT query_id, round(avg(severity), 9) AS severity FROM v GROUP BY query_id), o AS (SELECT *, row_number() OVER (ORDER BY query_id) - 1 AS place, count(*) OVER () AS n FROM m)"
 
 
-@query("c26_seam_outcomes", f"""WITH {_MEANS}, qa AS (SELECT result_id, bool_or(correct) AS correct FROM qa_stage2_adaptive_threshold_sweep_ratio0chk GROUP BY result_id), q AS (SELECT correct, (row_number() OVER (ORDER BY result_id) - 1) % (SELECT max(n) FROM o) AS place FROM qa WHERE correct IS NOT NULL),
-f AS (SELECT correct AS g, severity AS v FROM q JOIN o USING (place)), r AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM f), t AS (SELECT CAST(sum(CASE WHEN g THEN r ELSE 0 END) AS DOUBLE) AS ra, CAST(sum(CASE WHEN g THEN 1 ELSE 0 END) AS DOUBLE) AS na, CAST(count(*) AS DOUBLE) AS n FROM r),
-ti AS (SELECT CAST(sum(m * m * m - m) AS DOUBLE) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS m FROM f GROUP BY v)), z AS (SELECT greatest(0, abs(ra - na * (na + 1) / 2 - na * (n - na) / 2) - 0.5) / sqrt(na * (n - na) / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM t, ti), e AS (SELECT z / sqrt(2.0) AS x, 1 / (1 + {E.ERFC_P} * z / sqrt(2.0)) AS t FROM z)
-SELECT g AS correct, round(avg(v), 6) AS mean_severity, CAST(count(*) AS BIGINT) AS n, (SELECT round(least(1.0, {_ERFC}), 6) FROM e) AS p FROM f GROUP BY g""")
-def _(spark, d):
-    """Outcomes of the sweep's questions joined to seam exposure: mean severity of right and wrong ones, and the chance of as
-    great a difference. The tables own no common key, so the results are dealt in order to all queries that have seams."""
-    from folio.plans.catalog_eval import qa
+_OUTCOMES = f"""WITH {_MEANS}, qa AS (SELECT result_id, bool_or(correct) AS correct FROM qa_stage2_adaptive_threshold_sweep_ratio0chk GROUP BY result_id), q AS (SELECT correct, (row_number() OVER (ORDER BY result_id) - 1) % (SELECT max(n) FROM o) AS place FROM qa WHERE correct IS NOT NULL),
+f AS (SELECT correct AS g, severity AS v FROM q JOIN o USING (place))"""
+
+
+def outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """correct and severity: the sweep's outcomes joined to seam exposure. The tables own no common key, so the results are
+    dealt in order to all queries that have seams."""
+    from folio.plans import catalog_eval, catalog_vector
     from folio.runtime import cut
 
-    s = cut(severities(spark, d).groupBy("query_id").agg(F.round(F.avg("severity"), 9).alias("severity")))
+    s = cut(catalog_vector.severities(spark, d).groupBy("query_id").agg(F.round(F.avg("severity"), 9).alias("severity")))
     s = C.with_row_number(s, ["query_id"], "place").select("place", "severity")
-    q = C.with_row_number(qa(spark, d).where("correct is not null").select("result_id", "correct"), ["result_id"], "place")
-    q = q.crossJoin(F.broadcast(s.agg(F.count(F.lit(1)).alias("n_queries")))).withColumn("place", F.col("place") % F.col("n_queries"))
-    both = q.join(s, "place")
-    p = E.mann_whitney(both, "severity", "correct", True).select(F.round("p", 6).alias("p"))
-    return both.groupBy("correct").agg(F.round(F.avg("severity"), 6).alias("mean_severity"), F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(p))  # one row
+    q = C.with_row_number(catalog_eval.qa(spark, d).where("correct is not null").select("result_id", "correct"), ["result_id"], "place")
+    q = q.crossJoin(F.broadcast(s.agg(F.count(F.lit(1)).alias("n_queries")))).withColumn("place", F.col("place") % F.col("n_queries"))  # one row
+    return q.join(s, "place").select("correct", "severity")
+
+
+@query("c26_seam_outcomes", f"{_OUTCOMES} SELECT g AS correct, round(avg(v), 6) AS mean_severity, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY g")
+def _(spark, d):
+    """Mean severity of right and wrong answers."""
+    return outcomes(spark, d).groupBy("correct").agg(F.round(F.avg("severity"), 6).alias("mean_severity"), F.count(F.lit(1)).alias("n"))
+
+
+@query("c26_seam_test", f"""{_OUTCOMES}, r AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM f), t AS (SELECT CAST(sum(CASE WHEN g THEN r ELSE 0 END) AS DOUBLE) AS ra, CAST(sum(CASE WHEN g THEN 1 ELSE 0 END) AS DOUBLE) AS na, CAST(count(*) AS DOUBLE) AS n FROM r),
+ti AS (SELECT CAST(sum(m * m * m - m) AS DOUBLE) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS m FROM f GROUP BY v)), z AS (SELECT greatest(0, abs(ra - na * (na + 1) / 2 - na * (n - na) / 2) - 0.5) / sqrt(na * (n - na) / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM t, ti), e AS (SELECT z, z / sqrt(2.0) AS x, 1 / (1 + {E.ERFC_P} * z / sqrt(2.0)) AS t FROM z)
+SELECT round(z, 6) AS z, round(least(1.0, {_ERFC}), 6) AS p FROM e""")
+def _(spark, d):
+    """The chance of as great a difference between the severities of right and wrong answers."""
+    return E.mann_whitney(outcomes(spark, d), "severity", "correct", True).select(F.round("z", 6).alias("z"), F.round("p", 6).alias("p"))
 
 
 _PAIR = "p AS (SELECT pair_id, max(conditioning) AS c, max(chunk_position) AS pos, max(target_text) AS t, max(previous_summary) AS s, max(chunk_text) AS k FROM stage2_pair GROUP BY pair_id)"
