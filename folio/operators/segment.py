@@ -6,7 +6,8 @@ stand as if joined by blank lines. Null and blank texts give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -306,21 +307,21 @@ def seam_scores(units: DataFrame, key: str, order: str = "pos", vec: str = "vec"
 
 def word_spans(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Windows of ``size`` words with their exact source span, up to the next window's first word or the text's end: key,
-    window_idx, start, end, n_words. The text is matched window by window, so that a window's length is that of its match."""
-    head = F.length(F.regexp_extract(F.col(text), f"^({WS}*)", 1))
-    rest = F.substring(F.col(text), head + 1, F.length(text))
-    run = F.regexp_extract_all(rest, F.lit(f"((?:[^{WS[1:]}+{WS}*){{1,{size}}})"), F.lit(1))
-
-    def spans(p: Column) -> Column:
-        zero = F.struct(p["head"].cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-        step = lambda acc, w: F.struct((acc["at"] + F.length(w)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-        return let(
-            F.aggregate(p["run"], zero, step, lambda acc: acc["out"]),
-            lambda starts: F.transform(p["run"], lambda w, i: F.struct(F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(w)).alias("end"), word_count(w).alias("n_words"))),
-        )
+    window_idx, start, end, n_words. In Arrow batches: the same as JVM expressions took four times as long on sf0.1."""
+    ship(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+    word = re.compile(r"\S+")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, t in zip(pdf[key], pdf["_t"]):
+                starts = [m.start() for m in word.finditer(t)]
+                ends = [*starts[size::size], len(t)]
+                rows += [(k, i, starts[i * size], end, min(size, len(starts) - i * size)) for i, end in enumerate(ends) if i * size < len(starts)]
+            yield pd.DataFrame(rows, columns=[key, "window_idx", "start", "end", "n_words"])
 
-    rows = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(let(F.struct(head.alias("head"), run.alias("run")), spans)).alias("window_idx", "s"))
-    return rows.select(key, F.col("window_idx").cast("long").alias("window_idx"), "s.start", "s.end", "s.n_words")
+    return docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_t")).mapInPandas(run, f"{key} {kind}, window_idx long, start long, end long, n_words long")
 
 
 def truncate_at_paragraph(paras: DataFrame, n: int, key: str = "doc_id") -> DataFrame:

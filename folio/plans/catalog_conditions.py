@@ -16,7 +16,7 @@ from folio.operators import select as R
 from folio.plans.catalog_text import _TOK, NGRAMS, SENTENCES, WORDS, _F1, docs
 from folio.plans.catalog_vector import _BUDGET, COS, out, severities
 from folio.plans.registry import query
-from folio.runtime import read
+from folio.runtime import read, shuffle_parts
 
 PIECES = lambda c: f"len(regexp_extract_all({c}, '{T.PIECE}'))"
 GENRE = lambda c: f"regexp_replace(lower({c}), '[^a-z]', '', 'g')"
@@ -24,7 +24,9 @@ CHUNKS = "c AS (SELECT doc_id, chunk_idx, max(text) AS text FROM chunk GROUP BY
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "chunk", "doc_id", "chunk_idx", "text").groupBy("doc_id", "chunk_idx").agg(F.max("text").alias("text"))
+    """One row a chunk, a document's chunks together: later windows over it need no other exchange, and texts that are few
+    but costly stay spread."""
+    return read(spark, d, "chunk", "doc_id", "chunk_idx", "text").repartition(shuffle_parts(spark), "doc_id").groupBy("doc_id", "chunk_idx").agg(F.max("text").alias("text"))
 
 
 def genre(c: str) -> Column:
@@ -233,7 +235,7 @@ un AS (SELECT doc_id, para_idx, CASE WHEN gn > 1 AND gw > 120 THEN i ELSE min(i)
 
 
 def para_rows(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "paragraph", "doc_id", "para_idx", "text", "char_offset", "is_scene_break").groupBy("doc_id", "para_idx").agg(F.max("text").alias("text"), F.max("char_offset").alias("char_offset"), F.max("is_scene_break").alias("is_scene_break"))
+    p = read(spark, d, "paragraph", "doc_id", "para_idx", "text", "char_offset", "is_scene_break").repartition(shuffle_parts(spark), "doc_id").groupBy("doc_id", "para_idx").agg(F.max("text").alias("text"), F.max("char_offset").alias("char_offset"), F.max("is_scene_break").alias("is_scene_break"))
     return p.withColumn("is_scene_break", F.coalesce("is_scene_break", T.is_structural_break(F.col("text"))))
 
 
