@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from folio.operators.rangejoin import point_in_interval
 from folio.runtime import read, ship
 
-TRAIN_ROWS = 12000
+TRAIN_ROWS = 6000
 OPEN = {"“": "”", "„": "“", "«": "»", "‘": "’", "「": "」", "『": "』", "‹": "›"}
 CLOSE = set("”’»」』›“\"')）]】")
 MARK = re.compile(r"[.!?…。！？।॥]+")
